@@ -1,4 +1,291 @@
 """Registered queries over the driver's tables, with their DuckDB oracles."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import bloom, codec, values
+from tidemark.operators import compaction, rotation, state
+from tidemark.operators.floor import floor_lookup
+from tidemark.sources import changelog, segments
+from tidemark.streaming import engine
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changelog.from_events(events(spark, sf_dir))
+
+
+def flushed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.flush(log(spark, sf_dir))
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.manifest(flushed(spark, sf_dir))
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder beside the cluster's checkpoints; a temporary one where none is named, as in tests."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{named or tempfile.mkdtemp()}/{uuid.uuid4()}"
+
+
+LOG = """
+log AS (SELECT event_id AS seq, user_id AS shard, concat('u', user_id::VARCHAR, '_', json_extract_string(props, '$.k')) AS k,
+  CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'INSERT' END AS op,
+  CASE WHEN event_type = 'click' THEN 'INT' WHEN event_type = 'error' THEN NULL ELSE 'STRING' END AS vtype,
+  CASE WHEN event_type = 'click' THEN floor(value)::INT::VARCHAR WHEN event_type = 'error' THEN NULL ELSE event_type END AS v,
+  floor(event_id / 1000)::BIGINT AS seg FROM events),
+latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1),
+flushed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seg, k ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1),
+catalog AS (SELECT seg, 0 AS level, count(*) AS n_rows, min(k) AS min_key, max(k) AS max_key, min(seq) AS min_seq, max(seq) AS max_seq FROM flushed GROUP BY seg)
+"""
+
+
+@query(f"WITH {LOG} SELECT k, vtype, v, seq FROM latest WHERE op = 'INSERT'")
+def live_state(spark, sf_dir):
+    """The table's live view."""
+    return state.live(log(spark, sf_dir))
+
+
+@query(f"WITH {LOG}, probes AS (SELECT concat('u', (i % 200)::VARCHAR, '_', (i % 97)::VARCHAR) AS k FROM range(2000) r(i)) SELECT p.k, coalesce(l.v, 'null') AS reply, l.k IS NOT NULL AS found FROM probes p LEFT JOIN (SELECT * FROM latest WHERE op = 'INSERT') l ON p.k = l.k")
+def multi_get(spark, sf_dir):
+    """A batch of reads, absent keys among them."""
+    i = F.col("id")
+    keys = spark.range(2000).select(F.concat(F.lit("u"), (i % 200).cast("string"), F.lit("_"), (i % 97).cast("string")).alias("k"))
+    return state.multi_get(keys, log(spark, sf_dir))
+
+
+def command_lines(spark, sf_dir):
+    key = F.concat(F.lit("k"), (F.col("user_id") % 50).cast("string"))
+    line = F.when(F.col("event_type") == "click", F.concat(F.lit("set "), key, F.lit(" 00"), F.floor("value").cast("int").cast("string"))).when(F.col("event_type") == "purchase", F.concat(F.lit("  set "), key, F.lit(" a  b"))).when(F.col("event_type") == "error", F.concat(F.lit("del "), key))
+    line = line.when(F.col("event_id") % 7 == 0, F.concat(F.lit("get  "), key)).when(F.col("event_id") % 11 == 0, "set").when(F.col("event_id") % 13 == 0, "set k").when(F.col("event_id") % 17 == 0, "SET k v").when(F.col("event_id") % 19 == 0, "").otherwise(F.concat(F.lit("get "), key))
+    return events(spark, sf_dir).select(F.col("event_id").alias("id"), line.alias("line"))
+
+
+_LINES = """
+lines AS (SELECT event_id AS id, trim(CASE WHEN event_type = 'click' THEN concat('set k', (user_id % 50)::VARCHAR, ' 00', floor(value)::INT::VARCHAR) WHEN event_type = 'purchase' THEN concat('  set k', (user_id % 50)::VARCHAR, ' a  b')
+  WHEN event_type = 'error' THEN concat('del k', (user_id % 50)::VARCHAR) WHEN event_id % 7 = 0 THEN concat('get  k', (user_id % 50)::VARCHAR) WHEN event_id % 11 = 0 THEN 'set' WHEN event_id % 13 = 0 THEN 'set k'
+  WHEN event_id % 17 = 0 THEN 'SET k v' WHEN event_id % 19 = 0 THEN '' ELSE concat('get k', (user_id % 50)::VARCHAR) END, ' ') AS line FROM events),
+words AS (SELECT *, string_split(line, ' ') AS t FROM lines),
+cmd AS (SELECT *, CASE WHEN t[1] = 'set' AND len(t) > 2 THEN 'INSERT' WHEN t[1] = 'del' AND len(t) = 2 THEN 'DELETE' WHEN t[1] = 'get' AND len(t) = 2 THEN 'GET' END AS op, t[2] AS k, array_to_string(t[3:], ' ') AS raw FROM words),
+cmds AS (SELECT *, coalesce(CASE WHEN regexp_matches(raw, '^[+-]?[0-9]+$') THEN TRY_CAST(raw AS INT)::VARCHAR END, raw) AS v FROM cmd)
+"""
+
+
+@query(
+    f"""WITH {_LINES},
+g AS (SELECT c.id, c.k, (SELECT max(w.id) FROM cmds w WHERE w.k = c.k AND w.op IN ('INSERT', 'DELETE') AND w.id < c.id) AS wid FROM cmds c WHERE c.op = 'GET')
+SELECT g.id, coalesce(CASE WHEN w.op = 'INSERT' THEN w.v END, 'null') AS reply, coalesce(w.op = 'INSERT', false) AS found FROM g LEFT JOIN cmds w ON w.id = g.wid
+UNION ALL SELECT id, CASE WHEN op IN ('INSERT', 'DELETE') THEN 'success' WHEN t[1] = 'set' AND len(t) = 2 THEN 'rip' WHEN t[1] = 'set' THEN 'failed' ELSE 'ah?' END, NULL FROM cmds WHERE op IS NULL OR op <> 'GET'"""
+)
+def command_replies(spark, sf_dir):
+    """A batch of command lines run in order, with the reply to each."""
+    return changelog.replies(changelog.parse(command_lines(spark, sf_dir)))
+
+
+_RAW = "CASE event_id % 8 WHEN 0 THEN '007' WHEN 1 THEN '+5' WHEN 2 THEN '-1' WHEN 3 THEN '2147483648' WHEN 4 THEN ' 5 ' WHEN 5 THEN '-' WHEN 6 THEN event_type ELSE floor(value)::INT::VARCHAR END"
+
+
+@query(f"SELECT id, raw, CASE WHEN n IS NOT NULL THEN 'INT' ELSE 'STRING' END AS vtype, coalesce(n::VARCHAR, raw) AS v FROM (SELECT *, CASE WHEN regexp_matches(raw, '^[+-]?[0-9]+$') THEN TRY_CAST(raw AS INT) END AS n FROM (SELECT event_id AS id, {_RAW} AS raw FROM events))")
+def value_typing(spark, sf_dir):
+    """Integers, numbers out of range and strings told apart."""
+    m = F.col("event_id") % 8
+    raw = F.when(m == 0, "007").when(m == 1, "+5").when(m == 2, "-1").when(m == 3, "2147483648").when(m == 4, " 5 ").when(m == 5, "-").when(m == 6, F.col("event_type")).otherwise(F.floor("value").cast("int").cast("string"))
+    t = events(spark, sf_dir).select(F.col("event_id").alias("id"), raw.alias("raw"))
+    return t.select("id", "raw", values.vtype(F.col("raw")).alias("vtype"), values.canonical(F.col("raw")).alias("v"))
+
+
+@query(f"WITH {LOG} SELECT k, seq FROM latest WHERE op = 'DELETE'")
+def tombstones(spark, sf_dir):
+    """O3: keys whose last operation deletes them."""
+    return state.tombstones(log(spark, sf_dir))
+
+
+@query("SELECT i * 1001 + j AS id, concat('set key_', i::VARCHAR, '_', j::VARCHAR, ' ', j::VARCHAR) AS line FROM range(3) a(i), range(1001) b(j)")
+def workload_generate(spark, sf_dir):
+    """The load generator of three clients."""
+    return changelog.workload(spark, 3)
+
+
+@query(f"WITH {LOG} SELECT seg, k, op, vtype, v, seq FROM flushed")
+def segment_flush(spark, sf_dir):
+    """What each flush writes."""
+    return flushed(spark, sf_dir)
+
+
+@query(f"WITH {LOG} SELECT * FROM catalog")
+def segment_manifest(spark, sf_dir):
+    """The catalog of segments."""
+    return catalog(spark, sf_dir)
+
+
+@query(f"WITH {LOG} SELECT seg, k, op, seq, row_number() OVER (PARTITION BY seg ORDER BY k) - 1 AS pos FROM flushed")
+def segment_ordered_scan(spark, sf_dir):
+    """Every segment in key order."""
+    return segments.ordered(flushed(spark, sf_dir)).select("seg", "k", "op", "seq", "pos")
+
+
+_BLOCKS = "blocks AS (SELECT seg, pos // 16 AS blk, min(k) AS first_key FROM (SELECT seg, k, row_number() OVER (PARTITION BY seg ORDER BY k) - 1 AS pos FROM flushed) GROUP BY ALL)"
+
+
+@query(f"WITH {LOG}, {_BLOCKS} SELECT seg, blk, first_key FROM blocks")
+def block_index(spark, sf_dir):
+    """The sparse index of every segment."""
+    return segments.block_index(flushed(spark, sf_dir))
+
+
+@query(f"WITH {LOG}, {_BLOCKS}, probes AS (SELECT seg - 1 AS seg, k FROM flushed WHERE seg > 0) SELECT p.seg, p.k, b.blk, b.first_key FROM probes p ASOF LEFT JOIN blocks b ON p.seg = b.seg AND p.k >= b.first_key")
+def block_floor_lookup(spark, sf_dir):
+    """The block of a segment that may hold each key of the next segment."""
+    rows = flushed(spark, sf_dir)
+    probes = rows.where("seg > 0").select((F.col("seg") - 1).alias("seg"), "k")
+    return floor_lookup(probes, segments.block_index(rows), "seg", "k", "blk", "first_key")
+
+
+@query(f"WITH {LOG} SELECT a.level, a.seg AS seg_a, b.seg AS seg_b FROM catalog a JOIN catalog b ON a.level = b.level AND a.seg < b.seg AND a.min_key <= b.max_key AND b.min_key <= a.max_key")
+def overlap_pairs(spark, sf_dir):
+    """Segments whose key ranges overlap."""
+    return compaction.overlap_pairs(catalog(spark, sf_dir))
+
+
+@query(f"WITH {LOG} SELECT level, seg AS seg_a, seg_b FROM (SELECT *, lead(seg) OVER w AS seg_b, lead(min_key) OVER w AS lo, lead(max_key) OVER w AS hi FROM catalog WINDOW w AS (PARTITION BY level ORDER BY seg)) WHERE min_key <= hi AND lo <= max_key")
+def overlap_neighbours(spark, sf_dir):
+    """Overlapping neighbours by segment id."""
+    return compaction.overlap_neighbours(catalog(spark, sf_dir))
+
+
+@query(f"WITH {LOG} SELECT k, op, vtype, v, seq, 1 AS level FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM flushed WHERE seg IN (0, 1)) WHERE r = 1")
+def compact_pair(spark, sf_dir):
+    """Two segments merged, tombstones kept, one level up."""
+    return compaction.merge(flushed(spark, sf_dir).where("seg IN (0, 1)"), 1)
+
+
+@query(f"WITH {LOG} SELECT k, op, vtype, v, seq, 1 AS level FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM flushed) WHERE r = 1 AND op = 'INSERT'")
+def full_compaction(spark, sf_dir):
+    """All segments merged, tombstones gone."""
+    return compaction.merge(flushed(spark, sf_dir), 1, drop_tombstones=True)
+
+
+@query(f"WITH {LOG} SELECT k, vtype, v, seq FROM latest WHERE op = 'INSERT'")
+def wal_replay(spark, sf_dir):
+    """Segments 0 to 7 and the raw log after them give the same view."""
+    ops = log(spark, sf_dir)
+    cols = ["k", "op", "vtype", "v", "seq"]
+    return state.live(segments.flush(ops.where("seg < 8")).select(*cols).unionByName(ops.where("seg >= 8").select(*cols)))
+
+
+@query(f"""WITH {LOG}, merged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM flushed WHERE seg IN (0, 1)) WHERE r = 1)
+SELECT * FROM catalog WHERE seg NOT IN (0, 1) UNION ALL SELECT (SELECT max(seg) + 1 FROM catalog), 1, count(*), min(k), max(k), min(seq), max(seq) FROM merged""")
+def catalog_swap(spark, sf_dir):
+    """The catalog after segments 0 and 1 have been merged."""
+    rows, now = flushed(spark, sf_dir), catalog(spark, sf_dir)
+    merged = compaction.merge(rows.where("seg IN (0, 1)"), 1).withColumn("seg", F.lit(0).cast("long"))
+    new_id = now.agg((F.max("seg") + 1).alias("new_id"))
+    added = segments.manifest(merged, 1).crossJoin(F.broadcast(new_id)).withColumn("seg", F.col("new_id"))  # one row by one row
+    return compaction.swap(now, spark.range(2).select(F.col("id").alias("seg")), added)
+
+
+_SIZE = "(strlen(k) + CASE WHEN length(k) < 128 THEN 1 ELSE 2 END + CASE WHEN vtype = 'STRING' THEN strlen(v) + CASE WHEN length(v) < 128 THEN 1 ELSE 2 END WHEN vtype = 'INT' THEN {vint} ELSE 1 END)::BIGINT"
+_VINT = "CASE WHEN v::INT < 0 THEN 5 WHEN v::INT < 128 THEN 1 WHEN v::INT < 16384 THEN 2 WHEN v::INT < 2097152 THEN 3 WHEN v::INT < 268435456 THEN 4 ELSE 5 END"
+
+
+@query(f"""WITH RECURSIVE {LOG}, sized AS (SELECT seq, shard, {_SIZE.format(vint=_VINT)} AS bytes, row_number() OVER (PARTITION BY shard ORDER BY seq) AS n FROM log),
+fold AS (SELECT seq, shard, bytes, n, 0::BIGINT AS memtable, CASE WHEN bytes >= 1024 THEN 1 ELSE 0 END AS full_, CASE WHEN bytes >= 1024 THEN 0 ELSE bytes END AS used FROM sized WHERE n = 1
+UNION ALL SELECT s.seq, s.shard, s.bytes, s.n, f.memtable + f.full_, CASE WHEN f.used + s.bytes >= 1024 THEN 1 ELSE 0 END, CASE WHEN f.used + s.bytes >= 1024 THEN 0 ELSE f.used + s.bytes END FROM fold f JOIN sized s ON s.shard = f.shard AND s.n = f.n + 1)
+SELECT seq, shard, bytes, memtable FROM fold""")
+def memtable_rotation(spark, sf_dir):
+    """Which memtable each operation of a user falls into."""
+    return rotation.rotate(log(spark, sf_dir))
+
+
+@query(f"""WITH {LOG}, o AS (SELECT seg, k, lag(k) OVER (PARTITION BY seg ORDER BY k) AS prev FROM flushed)
+SELECT seg, k, CASE WHEN prev IS NULL THEN 0 ELSE len(list_filter(range(1, least(length(k), length(prev)) + 1), lambda i: left(k, i) = left(prev, i))) END::INT AS shared FROM o""")
+def prefix_share(spark, sf_dir):
+    """Characters that each key shares with the one before it in its segment."""
+    from pyspark.sql import Window
+
+    prev = F.lag("k").over(Window.partitionBy("seg").orderBy("k"))
+    return flushed(spark, sf_dir).select("seg", "k", prev.alias("prev")).select("seg", "k", F.coalesce(codec.shared_prefix(F.col("k"), F.col("prev")), F.lit(0)).cast("int").alias("shared"))
+
+
+@query(f"""WITH {LOG} SELECT seq, CASE WHEN vtype = 'INT' THEN {_VINT} ELSE 1 END AS vint_bytes, {_SIZE.format(vint=_VINT)} AS record_bytes,
+(CASE WHEN op = 'DELETE' THEN 16 ELSE 32 END) + (CASE WHEN vtype = 'STRING' THEN 1 ELSE 0 END) AS meta FROM log""")
+def varint_size(spark, sf_dir):
+    """Encoded sizes and meta byte of each operation."""
+    number = F.when(F.col("vtype") == "INT", codec.vint_size(F.when(F.col("vtype") == "INT", F.col("v")).cast("int"))).otherwise(1)
+    return log(spark, sf_dir).select("seq", number.alias("vint_bytes"), codec.record_size(F.col("k"), F.col("vtype"), F.when(F.col("vtype").isNotNull(), F.col("v"))).cast("long").alias("record_bytes"), codec.meta_byte(F.col("op"), F.coalesce("vtype", F.lit(""))).alias("meta"))
+
+
+_BIT = "(list_sum(list_transform(string_split(k, ''), lambda c: (48271 * ascii(c) + 16807) % 1635947)) % 4800)::BIGINT"
+
+
+@query(f"WITH {LOG} SELECT DISTINCT k, {_BIT} AS bit FROM log")
+def bloom_bits(spark, sf_dir):
+    """The bit of each key in an explicit filter of one hash."""
+    return log(spark, sf_dir).select("k").distinct().select("k", bloom.bit(F.col("k"), bloom.bits_for(1000)).alias("bit"))
+
+
+@query(f"""WITH {LOG}, keys AS (SELECT DISTINCT seg, k, {_BIT} AS bit FROM flushed), bits AS (SELECT DISTINCT bit FROM keys WHERE seg = 0), probes AS (SELECT DISTINCT k, bit FROM keys WHERE seg > 0)
+SELECT p.k, p.bit IN (SELECT bit FROM bits) AS may_contain, p.k IN (SELECT k FROM keys WHERE seg = 0) AS contains FROM probes p""")
+def bloom_probe(spark, sf_dir):
+    """Keys of the other segments against the filter of segment 0."""
+    bits = bloom.bits_for(1000)
+    rows = flushed(spark, sf_dir).select("seg", "k")
+    own = rows.where("seg = 0").select("k")
+    probes = rows.where("seg > 0").select("k").distinct().withColumn("bit", bloom.bit(F.col("k"), bits))
+    filled = own.select(bloom.bit(F.col("k"), bits).alias("bit")).distinct().withColumn("hit", F.lit(True))  # ``bits`` rows at most
+    held = own.distinct().withColumn("held", F.lit(True))
+    return probes.join(F.broadcast(filled), "bit", "left").join(held, "k", "left").select("k", F.coalesce("hit", F.lit(False)).alias("may_contain"), F.coalesce("held", F.lit(False)).alias("contains"))
+
+
+@query(f"""WITH {LOG}, m AS (SELECT max(seg) AS newest FROM log) SELECT k, v, CASE WHEN seg = newest THEN 'memtable' WHEN seg = newest - 1 THEN 'immutable' ELSE 'segment' END AS tier FROM latest, m WHERE op = 'INSERT'""")
+def answering_tier(spark, sf_dir):
+    """Where a read of each live key finds its answer."""
+    newest = events(spark, sf_dir).agg(F.max("event_id")).first()[0]
+    return state.answering_tier(log(spark, sf_dir), (newest or 0) // 1000)
+
+
+@query(f"WITH {LOG} SELECT k, vtype, v, seq FROM latest WHERE op = 'INSERT'")
+def stream_live_state(spark, sf_dir):
+    """The events as a stream, flushed batch by batch, then read."""
+    return engine.stream_live_state(spark, sf_dir, "events.parquet", work_dir(spark))
+
+
+@query(f"WITH {LOG} SELECT k, op, vtype, v, seq FROM latest WHERE k IN ('u1_1', 'u2_2', 'u3_3', 'u7_42', 'u50_7', 'none')")
+def point_lookup(spark, sf_dir):
+    """A few literal keys against written segments, found by file ranges and Bloom filters."""
+    out = f"{work_dir(spark)}/segments"
+    segments.write(flushed(spark, sf_dir), out, files=4)
+    return segments.lookup(spark, ["u1_1", "u2_2", "u3_3", "u7_42", "u50_7", "none"], out)
+
+
+@query(f"WITH {LOG} SELECT k, v FROM latest WHERE op = 'INSERT' AND vtype = 'INT' AND v::INT >= 50")
+def typed_filter(spark, sf_dir):
+    """O5, O10 (extension): a predicate on the typed view of values."""
+    number = F.when(F.col("vtype") == "INT", F.col("v")).try_cast("int")
+    return state.live(log(spark, sf_dir)).where(number >= 50).select("k", "v")
