@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, packing, sharding, toxicity
+from tidemark.llm import chat, packing, sharding, simhash, toxicity
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents by fingerprints within three bits."""
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole document, learnt from labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -68,6 +74,7 @@ FROM v GROUP BY conv_id
 
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
+    "op2_simhash": op2_simhash,
     "op4_toxicity": op4_toxicity,
     "op7_packing": op7_packing,
     "op8_chat_formatting": op8_chat_formatting,

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
 #: The sample for training: at most so many rows, and so many bytes of text.
-SAMPLE_ROWS, SAMPLE_BYTES = 4000, 24_000_000
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 10_000_000
+#: Usual share of a telling n-gram in a document.
 SCALE = 0.003
 
 
@@ -71,7 +72,7 @@ class Scorer(dict):
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 18, dim: int = 4, epochs: int = 120, rate: float = 0.05, decay: float = 1e-4, least: int = 10, seed: int = 7) -> Model:
+def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 18, dim: int = 4, epochs: int = 100, rate: float = 0.05, decay: float = 1e-4, least: int = 20, seed: int = 7) -> Model:
     """Joint training of n-gram vectors and softmax layer by Adam on the whole sample.
 
     N-grams of fewer than ``least`` sample documents keep a zero vector: they would only be learnt by heart.
@@ -91,24 +92,24 @@ def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 18, di
             c.append(bags[w][0])
             v.append(bags[w][1] * (n / total))
         c, inverse = np.unique(np.concatenate(c), return_inverse=True)
-        cols.append(c)
-        vals.append(np.bincount(inverse, np.concatenate(v), len(c)))
+        cols.append(c.astype(np.int32))
+        vals.append((np.bincount(inverse, np.concatenate(v), len(c)) / SCALE).astype(np.float32))
         ends.append(len(c))
-    row = np.repeat(np.arange(len(texts)), ends)
-    col, val = np.concatenate(cols), np.concatenate(vals).astype(np.float32)
-    known, col, spread = np.unique(col, return_inverse=True, return_counts=True)
-    keep = spread[col] >= least
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), ends)
+    col, val = np.concatenate(cols), np.concatenate(vals)
+    spread = np.bincount(col, minlength=buckets)
+    used = np.flatnonzero(spread >= least)
+    place = np.full(buckets, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    col = place[col]
+    keep = col >= 0
     row, col, val = row[keep], col[keep], val[keep]
-    used, col = np.unique(col, return_inverse=True)
     if not len(used):
         return Model(np.zeros(buckets), float(np.log(np.mean(labels) / (1 - np.mean(labels)))), buckets)
-    by_col = np.argsort(col, kind="stable")
+    by_col = np.argsort(col, kind="stable").astype(np.int32)
     t_row, t_col, t_val = row[by_col], col[by_col], val[by_col]
     rows, row_at = np.unique(row, return_index=True)
     _, col_at = np.unique(t_col, return_index=True)
-    # A share of a document is small; the softmax sees it scaled.
-    unit = np.full(len(used), SCALE, np.float32)
-    val, t_val = val / unit[col], t_val / unit[t_col]
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.01, (len(used), dim)).astype(np.float32)
     layer = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
@@ -132,7 +133,7 @@ def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 18, di
             v += 0.01 * (g * g - v)
             x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     weight = np.zeros(buckets)
-    weight[known[np.flatnonzero(spread >= least)]] = (vectors @ (layer[:, 1] - layer[:, 0])) / unit
+    weight[used] = vectors @ (layer[:, 1] - layer[:, 0]) / SCALE
     return Model(weight, float(bias[1] - bias[0]), buckets)
 
 
