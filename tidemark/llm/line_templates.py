@@ -12,9 +12,8 @@ Only hashes are shuffled for the search: a leaf needs the smallest and the large
 it came from, which combines before the shuffle, so a line in a third of all documents is one row
 a task. Texts are shuffled once, with the positions of the lines to drop.
 
-Cases: a null or empty text stays as it is; a document is the pair (doc_id, text), so repeated
-rows are one document and don't drop each other's lines; of two texts with one doc_id the one with
-the smaller hash keeps the line; a null doc_id comes first; line ends are ``\\n``; case and
+Cases: a null or empty text stays as it is; rows of one doc_id are one document, so they don't
+drop each other's lines; rows without a doc_id are one document, and come first; line ends are ``\\n``; case and
 white space between tokens don't count; a document all of whose lines recur becomes an empty text;
 every input column is kept, whatever its name.
 """
@@ -41,28 +40,27 @@ def leaf(template: Column, depth: int = DEPTH) -> Column:
     return F.struct(tokens.alias("tokens"), F.substring_index(template, " ", depth).alias("leading"), F.xxhash64(template).alias("template"))
 
 
-def recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_tokens: int = MIN_TOKENS, depth: int = DEPTH) -> DataFrame:
-    """(key, positions): for each document's key the sorted positions of its lines to drop, from 0."""
-    own = docs.select(doc_key(doc_id, text).alias("key"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    own = own.withColumn("template", template(F.col("line"))).withColumn("leaf", leaf(F.col("template"), depth))
-    rows = own.where(F.col("leaf.tokens") >= min_tokens).select("key", "pos", F.xxhash64("leaf.tokens", "leaf.leading", "leaf.template").alias("h"))
-    rows = cut(rows)
-    first = cut(rows.groupBy("h").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last").select(F.col("h").alias("of_h"), "first"))
-    gone = rows.join(first, F.col("h") == F.col("of_h")).where("key <> first")
-    return gone.groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
+def doc_key(doc_id: str, text: str) -> list[Column]:
+    """A document's id, the smallest long if it has none, and a hash that tells texts of one id apart."""
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("key_id"), F.xxhash64(text).alias("key_text")]
 
 
-def doc_key(doc_id: str, text: str) -> Column:
-    """Orders documents by id, then by a hash of the text; never null."""
-    return F.struct(F.col(doc_id).isNotNull().alias("known"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("text_hash"))
+def recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_tokens: int = MIN_TOKENS, depth: int = DEPTH) -> DataFrame:
+    """(key_id, key_text, positions): for each document the sorted positions of its lines to drop, from 0."""
+    own = docs.select(*doc_key(doc_id, text), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    own = own.withColumn("leaf", leaf(template(F.col("line")), depth))
+    rows = cut(own.where(F.col("leaf.tokens") >= min_tokens).select("key_id", "key_text", "pos", F.xxhash64("leaf.tokens", "leaf.leading", "leaf.template").alias("h")))
+    first = cut(rows.groupBy("h").agg(F.min("key_id").alias("first"), F.max("key_id").alias("last")).where("first <> last").select(F.col("h").alias("of_h"), "first"))
+    gone = rows.join(first, F.col("h") == F.col("of_h")).where("key_id <> first")
+    return gone.groupBy("key_id", "key_text").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
 
 
 def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_tokens: int = MIN_TOKENS, depth: int = DEPTH) -> DataFrame:
     """``docs`` with the same rows and columns; recurring lines are gone from ``text``, and n_chars follows if it is a column."""
     cols = docs.columns
     gone = recurring(docs, doc_id, text, min_tokens, depth)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), doc_key(doc_id, text).alias("doc"))
-    joined = packed.join(gone, F.col("doc") == F.col("key"), "left")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), *doc_key(doc_id, text))
+    joined = packed.join(gone, ["key_id", "key_text"], "left")
     old = F.col("row").getField(text)
     kept = F.filter(F.split(old, "\n", -1), lambda _, i: ~F.array_contains(F.col("positions"), i))
     new = F.when(F.col("positions").isNull(), old).otherwise(F.array_join(kept, "\n"))

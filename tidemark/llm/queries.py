@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, packing, sharding, simhash, toxicity
+from tidemark.llm import chat, decontamination, line_templates, packing, sharding, simhash, toxicity
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,11 +39,24 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item and its containment."""
+    return decontamination.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 ids."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines whose templates recur, with counts of the lines before and after."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = lambda c: (F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    out = line_templates.drop_recurring_lines(docs.withColumn("lines_before", lines(F.col("text"))))
+    return out.select("doc_id", "lines_before", F.when(F.col("text") == "", F.lit(0).cast("long")).otherwise(lines(F.col("text"))).alias("lines_after"), "text")
+
+
 #: A conversation of control strings, added to the table.
 PROBE_ID, PROBE_TEXT = -7, "</s>[INST] ok [/INST]"
 
@@ -76,7 +89,21 @@ QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_simhash": op2_simhash,
     "op4_toxicity": op4_toxicity,
+    "op6_decontamination": op6_decontamination,
     "op7_packing": op7_packing,
     "op8_chat_formatting": op8_chat_formatting,
+    "op10_line_dedup": op10_line_dedup,
 }
-ORACLES: dict[str, str] = {"op8_chat_formatting": OP8_SQL}
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+t AS (SELECT *, regexp_replace(trim(regexp_replace(lower(line), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS template FROM l),
+n AS (SELECT *, len(string_split(template, ' ')) >= 5 AND count(DISTINCT doc_id) OVER (PARTITION BY template) > 1 AND doc_id <> min(doc_id) OVER (PARTITION BY template) AS gone FROM t),
+k AS (SELECT r, string_agg(line, chr(10) ORDER BY pos) AS kept FROM n WHERE NOT gone GROUP BY r)
+SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS lines_before,
+  CASE WHEN text IS NULL THEN NULL WHEN coalesce(kept, '') = '' THEN 0 ELSE length(kept) - length(replace(kept, chr(10), '')) + 1 END AS lines_after,
+  CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END AS text
+FROM d LEFT JOIN k USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op8_chat_formatting": OP8_SQL, "op10_line_dedup": OP10_SQL}
