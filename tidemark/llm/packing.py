@@ -17,6 +17,7 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -34,29 +35,68 @@ SALTS = 64
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
+def _byte_letters() -> list[str]:
+    """The letter that byte-level tokenizers write for each byte: itself if it prints, else one from U+0100 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in prints else chr(next(rest)) for b in range(256)]
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 class WordIds(dict):
     """Ids of white-space separated words, as little-endian bytes. The tokenizer's normalizer and
-    splitter never look across white space, so a text's ids are those of its words in turn."""
+    splitter never look across white space, so a text's ids are those of its words in turn.
 
-    MOST = 300_000
+    Words are kept in two generations of ``MOST``: a full one replaces the one before, and words
+    still in use move over. In letters below U+0250, a capitalised word is looked up in lower
+    case, and a mark after a letter by itself, since the tokenizer folds and splits them so; what
+    is left of small letters goes to the model at once.
+    """
+
+    MOST = 400_000
+    PLAIN = re.compile(r"[\x21-\u024f]+")
+    MARKS = frozenset(".,;:!?|")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.old: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.parts(word) or self.of(word)
         if len(self) >= self.MOST:
+            self.old = dict(self)
             self.clear()
         if len(word) < 64:
             self[word] = ids
         return ids
 
+    def parts(self, word: str) -> bytes | None:
+        if not self.PLAIN.fullmatch(word):
+            return None
+        if len(word) > 1 and word[-1] in self.MARKS and word[-2].isalpha():
+            return self[word[:-1]] + self[word[-1]]
+        low = word.lower()
+        if low != word:
+            return self[low]
+        if not word.isalpha():
+            return None
+        letters = word if word.isascii() else "".join(map(BYTE_LETTERS.__getitem__, word.encode()))
+        return np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+
+    def of(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split() alone
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self.of(text)
         return b"".join(map(self.__getitem__, text.split()))
 
 
@@ -117,13 +157,15 @@ def lower_bound(hist: dict[int, int], capacity: int) -> int:
         return 0
     sizes = np.array(sorted(hist))
     counts = np.array([hist[int(s)] for s in sizes], dtype=np.int64)
-    best = -(-int((sizes * counts).sum()) // capacity)
-    for k in sizes[sizes <= capacity // 2]:
-        big, mid, small = sizes > capacity - k, (sizes <= capacity - k) & (sizes > capacity // 2), (sizes >= k) & (sizes <= capacity // 2)
-        room = int((counts[mid] * (capacity - sizes[mid])).sum())
-        extra = int((counts[small] * sizes[small]).sum()) - room
-        best = max(best, int(counts[big].sum() + counts[mid].sum()) + max(0, -(-extra // capacity)))
-    return max(best, int(counts[sizes > capacity // 2].sum()))
+    best = max(-(-int((sizes * counts).sum()) // capacity), int(counts[sizes > capacity // 2].sum()))
+    n_up = np.concatenate([[0], counts.cumsum()])  # documents below a place, and their lengths
+    sum_up = np.concatenate([[0], (sizes * counts).cumsum()])
+    half = np.searchsorted(sizes, capacity // 2, side="right")
+    k = np.arange(half)  # each small size as the least that counts
+    mid = np.searchsorted(sizes, capacity - sizes[k], side="right")
+    room = (n_up[mid] - n_up[half]) * capacity - (sum_up[mid] - sum_up[half])
+    extra = np.maximum(0, -(-(sum_up[half] - sum_up[k] - room) // capacity))
+    return max(best, int((n_up[-1] - n_up[half] + extra).max(initial=0)))
 
 
 def fillings(hist: dict[int, int], room: int, most: int, steps: int = 4000) -> list[Pattern]:
@@ -153,50 +195,55 @@ def fillings(hist: dict[int, int], room: int, most: int, steps: int = 4000) -> l
     return [f for _, f in found[:most]]
 
 
-def complete(hist: dict[int, int], capacity: int, nodes: int = 3000, width: int = 4) -> list[tuple[Pattern, int]]:
+def complete(hist: dict[int, int], capacity: int, nodes: int = 400, width: int = 4) -> list[tuple[Pattern, int]]:
     """Bin completion with best-fit incumbents. Exact while the node budget lasts."""
     best = best_fit(hist, capacity)
     best_n = sum(n for _, n in best)
     bound = lower_bound(hist, capacity)
     total = sum(s * n for s, n in hist.items())
     left = [nodes]
+    now = dict(hist)  # changed and restored in place, so the search holds one histogram
+    used: list[tuple[Pattern, int]] = []
 
-    def go(hist: dict[int, int], used: list[tuple[Pattern, int]], n: int, waste: int) -> None:
+    def go(n: int, waste: int) -> None:
         nonlocal best, best_n
         left[0] -= 1
         if best_n <= bound or left[0] < 0:
             return
-        if not hist:
+        if not now:
             if n < best_n:
                 best, best_n = list(used), n
             return
-        if waste > (best_n - 1) * capacity - total:  # no room for it in one bin fewer
+        if waste > (best_n - 1) * capacity - total or n + lower_bound(now, capacity) >= best_n:
             return
-        tail = best_fit(hist, capacity)
+        tail = best_fit(now, capacity)
         if n + (m := sum(k for _, k in tail)) < best_n:
             best, best_n = used + tail, n + m
             if best_n <= bound:
                 return
-        if n + lower_bound(hist, capacity) >= best_n:
-            return
-        top = max(hist)
-        rest = hist | {top: hist[top] - 1} if hist[top] > 1 else {s: c for s, c in hist.items() if s != top}
+        top = max(now)
+        rest = now | {top: now[top] - 1} if now[top] > 1 else {s: c for s, c in now.items() if s != top}
         for f in fillings(rest, capacity - top, width) or [()]:
             need = defaultdict(int, {top: 1})
             for s, c in f:
                 need[s] += c
-            times = min(hist[s] // c for s, c in need.items())
-            after = {s: c - times * need.get(s, 0) for s, c in hist.items()}
-            pattern = tuple(sorted(need.items(), reverse=True))
-            room = capacity - sum(s * c for s, c in pattern)
-            go({s: c for s, c in after.items() if c}, [*used, (pattern, times)], n + times, waste + times * room)
+            times = min(now[s] // c for s, c in need.items())
+            for s, c in need.items():
+                now[s] -= times * c
+                if not now[s]:
+                    del now[s]
+            used.append((tuple(sorted(need.items(), reverse=True)), times))
+            go(n + times, waste + times * (capacity - sum(s * c for s, c in need.items())))
+            used.pop()
+            for s, c in need.items():
+                now[s] = now.get(s, 0) + times * c
 
     import sys
 
     depth = sys.getrecursionlimit()
     sys.setrecursionlimit(max(depth, 4 * nodes + 1000))
     try:
-        go(dict(hist), [], 0, 0)
+        go(0, 0)
     finally:
         sys.setrecursionlimit(depth)
     return best
@@ -217,7 +264,7 @@ def places(patterns: list[tuple[Pattern, int]]) -> dict[int, np.ndarray]:
     return {k: np.array(v, dtype=np.int64) for k, v in rows.items()}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1, nodes: int = 3000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1, nodes: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
     spark = docs.sparkSession
     pieces = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(cut_pieces(tokenizer_path, capacity, end_id), PIECES)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontamination, line_templates, packing, sharding, simhash, toxicity
+from tidemark.llm import chat, decontamination, embeddings, line_templates, packing, quality, sharding, simhash, toxicity
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by two views; those under one half are rejected."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.withColumn("kept", F.col("score") >= 0.5)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item and its containment."""
     return decontamination.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -49,6 +56,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all embeddings by cosine of 0.9 or more."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines whose templates recur, with counts of the lines before and after."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -89,9 +101,11 @@ QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_simhash": op2_simhash,
     "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
     "op6_decontamination": op6_decontamination,
     "op7_packing": op7_packing,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
 OP10_SQL = r"""
