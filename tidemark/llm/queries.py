@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontamination, embeddings, line_templates, packing, quality, sharding, simhash, toxicity
+from tidemark.llm import chat, decontamination, embeddings, licenses, line_templates, packing, quality, sharding, simhash, toxicity
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and license notice that it holds."""
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole document, learnt from labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -100,6 +105,7 @@ FROM v GROUP BY conv_id
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_simhash": op2_simhash,
+    "op3_license_scan": op3_license_scan,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op6_decontamination": op6_decontamination,
@@ -120,4 +126,20 @@ SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS lines_be
 FROM d LEFT JOIN k USING (r)
 """
 
-ORACLES: dict[str, str] = {"op8_chat_formatting": OP8_SQL, "op10_line_dedup": OP10_SQL}
+_NOTICES = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in licenses.TEMPLATES.items())
+_BOUNDS = ", ".join(f"({b})" for b in licenses.bounds(200))
+_SHINGLES = r"string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')"
+OP3_SQL = f"""
+WITH given(license, text) AS (VALUES {_NOTICES}), limits(b) AS (VALUES {_BOUNDS}),
+tw AS (SELECT license, {_SHINGLES} AS w FROM given),
+ts AS (SELECT DISTINCT license, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT license, w, unnest(range(1, len(w) - 3)) AS i FROM tw)),
+t AS (SELECT license, n, (SELECT min(b) FROM limits WHERE b >= n) AS bound FROM (SELECT license, count(*) AS n FROM ts GROUP BY license)),
+dw AS (SELECT doc_id, row_number() OVER () AS r, {_SHINGLES} AS w FROM documents),
+ds AS (SELECT doc_id, r, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, r, w, unnest(range(1, len(w) - 3)) AS i FROM dw)),
+hits AS (SELECT doc_id, r, pos, s, license, n, bound, greatest(1, bound // 4) AS step FROM ds JOIN ts USING (s) JOIN t USING (license)),
+wins AS (SELECT *, unnest(range(greatest(0, (pos - bound) // step), pos // step + 1)) AS k FROM hits),
+held AS (SELECT doc_id, license, n, k * step AS start, count(DISTINCT s) AS own FROM wins WHERE pos >= k * step AND pos < k * step + bound + step GROUP BY doc_id, r, license, n, k, step)
+SELECT doc_id, license, max(own::DOUBLE / n) AS containment, min(start)::INT AS first_word FROM held WHERE own::DOUBLE / n >= {licenses.THRESHOLD} GROUP BY doc_id, license
+"""
+
+ORACLES: dict[str, str] = {"op3_license_scan": OP3_SQL, "op8_chat_formatting": OP8_SQL, "op10_line_dedup": OP10_SQL}
