@@ -67,14 +67,15 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) of each document's whole text; fp holds the 64 bits as a long."""
+    """(doc_id, text_hash, fp) of each document's whole text; fp holds the 64 bits as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(shingle_hashes(t.as_py())) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(shingle_hashes(t.as_py())) for t in b.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 # --- Golay keys ---------------------------------------------------------------------------------
@@ -200,12 +201,34 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) of every document; component_id is the smallest doc_id reachable by links."""
+def _groups(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all documents; and the smallest doc_id of the component of each distinct one, with a row that has it."""
     members = cut(fingerprints(docs, doc_id, text))
-    first = cut(members.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    best = lambda c: F.min(c).alias("best")
+    first = cut(members.groupBy("fp").agg(best(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))))
     nodes = cut(components(links(first)))
-    low = cut(nodes.join(first, F.col("node") == F.col("fp")).groupBy("component").agg(F.min("first_id").alias("low")).withColumnRenamed("component", "c"))
+    low = cut(nodes.join(first, F.col("node") == F.col("fp")).groupBy("component").agg(best("best")).select(F.col("component").alias("c"), F.col("best").alias("low")))
     named = nodes.join(low, F.col("component") == F.col("c")).select("node", "low")
-    named = cut(first.join(named, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("of_fp"), F.coalesce("low", "first_id").alias("component_id")))
-    return members.join(named, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
+    return members, cut(first.join(named, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("of_fp"), F.coalesce("low", "best").alias("chosen")))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id) of every document; component_id is the smallest doc_id reachable by links."""
+    members, named = _groups(docs, doc_id, text)
+    return members.join(named, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", F.col("chosen.doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component, the one of the smallest doc_id, with all its columns.
+
+    Of rows that share that id the one of the least text hash stays, and of equal rows any one.
+    """
+    members, named = _groups(docs, doc_id, text)
+    chosen = cut(named.select("chosen.doc_id", "chosen.text_hash").distinct())
+    key = lambda id_: F.coalesce(id_.cast("long"), F.lit(-(1 << 63)))
+    keys = chosen.select(key(F.col("doc_id")).alias("k_id"), F.col("text_hash").alias("k_text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key(F.col(f"`{doc_id}`")).alias("r_id"), F.xxhash64(text).alias("r_text"))
+    kept = packed.join(keys, (F.col("r_id") == F.col("k_id")) & (F.col("r_text") == F.col("k_text")), "left_semi")
+    if members.groupBy("doc_id", "text_hash").count().where("count > 1").take(1):  # else nothing is repeated
+        kept = kept.dropDuplicates(["r_id", "r_text"])
+    return kept.select("row.*")
