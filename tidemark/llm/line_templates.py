@@ -31,13 +31,14 @@ DEPTH = 3
 
 def template(line: Column) -> Column:
     """Tokens of a line in lower case, variable fields as ``<*>``."""
-    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(line), r"\s+", " ")), r"[^ ]*[0-9][^ ]*", "<*>")
+    spaced = F.trim(F.regexp_replace(F.lower(line), r"\s{2,}|[^\S ]", " "))
+    return F.regexp_replace(spaced, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", "<*>")
 
 
 def leaf(template: Column, depth: int = DEPTH) -> Column:
-    """Where a template stands in the tree: number of tokens, leading tokens, and the template itself."""
+    """Where a template stands in the tree, its number of tokens; and a hash of that, the leading tokens and the template itself."""
     tokens = F.length(template) - F.length(F.replace(template, F.lit(" "), F.lit(""))) + 1
-    return F.struct(tokens.alias("tokens"), F.substring_index(template, " ", depth).alias("leading"), F.xxhash64(template).alias("template"))
+    return F.struct(tokens.alias("tokens"), F.xxhash64(tokens, F.substring_index(template, " ", depth), F.xxhash64(template)).alias("h"))
 
 
 def doc_key(doc_id: str, text: str) -> list[Column]:
@@ -47,9 +48,10 @@ def doc_key(doc_id: str, text: str) -> list[Column]:
 
 def recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_tokens: int = MIN_TOKENS, depth: int = DEPTH) -> DataFrame:
     """(key_id, key_text, positions): for each document the sorted positions of its lines to drop, from 0."""
-    own = docs.select(*doc_key(doc_id, text), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    own = own.withColumn("leaf", leaf(template(F.col("line")), depth))
-    rows = cut(own.where(F.col("leaf.tokens") >= min_tokens).select("key_id", "key_text", "pos", F.xxhash64("leaf.tokens", "leaf.leading", "leaf.template").alias("h")))
+    # Templates are bound by lambdas below a generator, so that no filter makes Spark work them out again.
+    templates = F.transform(F.split(text, "\n", -1), template)
+    own = docs.select(*doc_key(doc_id, text), F.posexplode(F.transform(templates, lambda t: leaf(t, depth))).alias("pos", "leaf"))
+    rows = cut(own.where(F.col("leaf.tokens") >= min_tokens).select("key_id", "key_text", "pos", F.col("leaf.h").alias("h")))
     first = cut(rows.groupBy("h").agg(F.min("key_id").alias("first"), F.max("key_id").alias("last")).where("first <> last").select(F.col("h").alias("of_h"), "first"))
     gone = rows.join(first, F.col("h") == F.col("of_h")).where("key_id <> first")
     return gone.groupBy("key_id", "key_text").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
@@ -62,7 +64,8 @@ def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), *doc_key(doc_id, text))
     joined = packed.join(gone, ["key_id", "key_text"], "left")
     old = F.col("row").getField(text)
-    kept = F.filter(F.split(old, "\n", -1), lambda _, i: ~F.array_contains(F.col("positions"), i))
+    rest = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("positions")), lambda i: F.get(lines, i))
+    kept = F.get(F.transform(F.array(F.split(old, "\n", -1)), rest), 0)
     new = F.when(F.col("positions").isNull(), old).otherwise(F.array_join(kept, "\n"))
     out = []
     for c in cols:
