@@ -205,6 +205,19 @@ def complete(hist: dict[int, int], capacity: int, nodes: int = 400, width: int =
     now = dict(hist)  # changed and restored in place, so the search holds one histogram
     used: list[tuple[Pattern, int]] = []
 
+    def improve(n: int) -> None:
+        """Take the branch with best fit for what is left as the incumbent, if it is better."""
+        nonlocal best, best_n
+        tail = best_fit(now, capacity)
+        if n + (m := sum(k for _, k in tail)) < best_n:
+            best, best_n = used + tail, n + m
+
+    def choices() -> tuple[int, list[Pattern]]:
+        """The largest length left and the fillings around it. No frame of the search keeps the histogram they came from."""
+        top = max(now)
+        rest = now | {top: now[top] - 1} if now[top] > 1 else {s: c for s, c in now.items() if s != top}
+        return top, fillings(rest, capacity - top, width) or [()]
+
     def go(n: int, waste: int) -> None:
         nonlocal best, best_n
         left[0] -= 1
@@ -216,14 +229,11 @@ def complete(hist: dict[int, int], capacity: int, nodes: int = 400, width: int =
             return
         if waste > (best_n - 1) * capacity - total or n + lower_bound(now, capacity) >= best_n:
             return
-        tail = best_fit(now, capacity)
-        if n + (m := sum(k for _, k in tail)) < best_n:
-            best, best_n = used + tail, n + m
-            if best_n <= bound:
-                return
-        top = max(now)
-        rest = now | {top: now[top] - 1} if now[top] > 1 else {s: c for s, c in now.items() if s != top}
-        for f in fillings(rest, capacity - top, width) or [()]:
+        improve(n)
+        if best_n <= bound:
+            return
+        top, found = choices()
+        for f in found:
             need = defaultdict(int, {top: 1})
             for s, c in f:
                 need[s] += c
