@@ -1,21 +1,28 @@
-"""Line dedup by a log-template tree, in DataFrame functions only.
+"""Line dedup by log templates, in DataFrame functions only.
 
-The tree has a fixed depth: a line goes down by its number of tokens, then by its leading tokens,
-to the leaf that holds its template. A variable field, which is a token with a digit in it, is
-generalised to ``<*>`` on the way, in the leading tokens and in the template alike, so lines that
-differ in such fields alone share a leaf. A template that recurs across documents is dropped from
-all of them but the one of the smallest id, where its content lives on: copies lose what they
-repeat, and no content is lost to the corpus. Templates of fewer than ``min_tokens`` tokens are
-kept everywhere, since short lines recur by chance.
+``recurring`` is the contract of op10_line_dedup, as its SQL has it: a variable field, which is a
+token with a digit in it, is generalised to ``<*>``, and lines that are equal then share a template.
+Templates of fewer than ``min_tokens`` tokens are kept everywhere, since short lines recur by chance.
 
-Only hashes are shuffled for the search: a leaf needs the smallest and the largest document that
+``recurring_in_tree`` adds the template tree of fixed depth. A masked line goes down by its number
+of tokens, then by its leading tokens, to a leaf. In a leaf, lines that differ in at most a fifth of
+their tokens share a template, the differing places being variable fields too, if ``min_tokens``
+constant tokens are left. Each line is compared with the earliest line of every block of tokens
+that it shares with others (one in a fifth differing leaves a block of ``blocks`` equal); lines that
+match none of those are compared with each other.
+
+A template that recurs across documents is dropped from all of them but the one of the smallest id,
+where its content lives on: copies lose what they repeat, and no content is lost to the corpus.
+
+Only hashes are shuffled for the search: a template needs the smallest and the largest document that
 it came from, which combines before the shuffle, so a line in a third of all documents is one row
 a task. Texts are shuffled once, with the positions of the lines to drop.
 
 Cases: a null or empty text stays as it is; rows of one doc_id are one document, so they don't
 drop each other's lines; rows without a doc_id are one document, and come first; line ends are ``\\n``; case and
 white space between tokens don't count; a document all of whose lines recur becomes an empty text;
-every input column is kept, whatever its name.
+every input column is kept, whatever its name; a variable field among the leading tokens is
+found only if it has a digit.
 """
 
 from __future__ import annotations
@@ -57,10 +64,55 @@ def recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_t
     return gone.groupBy("key_id", "key_text").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
 
 
-def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_tokens: int = MIN_TOKENS, depth: int = DEPTH) -> DataFrame:
-    """``docs`` with the same rows and columns; recurring lines are gone from ``text``, and n_chars follows if it is a column."""
+def similar(templates: DataFrame, min_tokens: int = MIN_TOKENS, depth: int = DEPTH) -> DataFrame:
+    """(of_h, low): the smallest document of the earlier lines that share the template of a masked line.
+
+    ``templates``: a row for each masked line of a leaf with others: h, lead (the leaf), words (a hash of each token), first.
+    """
+    n = F.size("words")
+    most = F.greatest(F.lit(0), F.least(F.floor(n / F.lit(5)).cast("int"), n - min_tokens))  # places that may differ
+    t = cut(templates.where(n > depth).withColumn("most", most).where("most > 0"))
+    size = F.ceil((F.size("words") - depth) / (F.col("most") + 1)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.col("most")), lambda i: F.xxhash64("lead", i, F.slice("words", depth + 1 + i * F.col("size"), F.col("size"))))
+    keys = cut(t.withColumn("size", size).select("h", "first", F.explode(blocks).alias("key")))
+    words = t.select("h", "words", "most", "first")
+    a = words.select(F.col("h").alias("a"), F.col("words").alias("words_a"), F.col("first").alias("first_a"))
+    b = words.select(F.col("h").alias("b"), F.col("words").alias("words_b"), F.col("most"))
+    equal = F.size(F.filter(F.zip_with("words_a", "words_b", lambda x, y: x == y), lambda x: x))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return pairs.distinct().join(a, "a").join(b, "b").where(F.size("words_a") == F.size("words_b")).where(equal >= F.size("words_b") - F.col("most")).select("b", F.col("first_a").alias("low"))
+
+    best = keys.groupBy("key").agg(F.min(F.struct("first", "h")).alias("best"), F.count("*").alias("n")).where("n > 1").select("key", "best")
+    star = cut(verified(keys.join(best, "key").select(F.col("best.h").alias("a"), F.col("h").alias("b")).where("a <> b")))
+    left = cut(keys.join(star.select(F.col("b").alias("h")), "h", "left_anti"))
+    l, r = left.select("key", F.col("h").alias("a"), F.col("first").alias("f")), left.select("key", F.col("h").alias("b"), F.col("first").alias("g"))  # noqa: E741
+    rest = verified(l.join(r, "key").where(F.struct("f", "a") < F.struct("g", "b")).select("a", "b"))
+    return star.unionByName(rest).groupBy("b").agg(F.min("low").alias("low")).withColumnRenamed("b", "of_h")
+
+
+def recurring_in_tree(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_tokens: int = MIN_TOKENS, depth: int = DEPTH) -> DataFrame:
+    """As ``recurring``, with the variable fields that the tree finds."""
+    path = lambda t, words: F.struct(
+        F.xxhash64(t).alias("h"), F.xxhash64(F.size(words), F.substring_index(t, " ", depth)).alias("lead"), F.transform(words, lambda w: F.hash(w)).alias("words")
+    )
+    templates = F.transform(F.split(text, "\n", -1), template)
+    own = docs.select(*doc_key(doc_id, text), F.posexplode(F.transform(templates, lambda t: path(t, F.split(t, " ")))).alias("pos", "line"))
+    rows = cut(own.where(F.size("line.words") >= min_tokens).select("key_id", "key_text", "pos", "line.*"))
+    first = cut(rows.groupBy("h").agg(F.min("key_id").alias("first"), F.max("key_id").alias("last"), F.first("lead").alias("lead")))
+    shared = first.groupBy("lead").agg(F.min("h").alias("h1"), F.max("h").alias("h2")).where("h1 <> h2").select("lead")
+    of = cut(first.join(shared, "lead", "left_semi").select("h", "first"))
+    texts = rows.join(of, "h").groupBy("h").agg(F.first("lead").alias("lead"), F.first("words").alias("words"), F.first("first").alias("first"))
+    low = similar(texts, min_tokens, depth)
+    keep = cut(first.join(low, F.col("h") == F.col("of_h"), "left").where("first <> last OR of_h IS NOT NULL").select(F.col("h").alias("t_h"), F.least("first", "low").alias("keep")))
+    gone = rows.select("key_id", "key_text", "pos", "h").join(keep, F.col("h") == F.col("t_h")).where("key_id <> keep")
+    return gone.groupBy("key_id", "key_text").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
+
+
+def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_tokens: int = MIN_TOKENS, depth: int = DEPTH, find=recurring) -> DataFrame:
+    """``docs`` with the same rows and columns; the lines that ``find`` gives are gone from ``text``, and n_chars follows if it is a column."""
     cols = docs.columns
-    gone = recurring(docs, doc_id, text, min_tokens, depth)
+    gone = find(docs, doc_id, text, min_tokens, depth)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), *doc_key(doc_id, text))
     joined = packed.join(gone, ["key_id", "key_text"], "left")
     old = F.col("row").getField(text)

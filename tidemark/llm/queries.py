@@ -67,10 +67,19 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the lines whose templates recur, with counts of the lines before and after."""
+    """All documents without the lines whose masked lines recur, with counts of the lines before and after."""
+    return _line_dedup(spark, sf_dir, line_templates.recurring)
+
+
+def op10_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op10_line_dedup, by the template tree that the pipeline uses."""
+    return _line_dedup(spark, sf_dir, line_templates.recurring_in_tree)
+
+
+def _line_dedup(spark: SparkSession, sf_dir: str, find: Callable[..., DataFrame]) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lines = lambda c: (F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    out = line_templates.drop_recurring_lines(docs.withColumn("lines_before", lines(F.col("text"))))
+    out = line_templates.drop_recurring_lines(docs.withColumn("lines_before", lines(F.col("text"))), find=find)
     return out.select("doc_id", "lines_before", F.when(F.col("text") == "", F.lit(0).cast("long")).otherwise(lines(F.col("text"))).alias("lines_after"), "text")
 
 
@@ -113,6 +122,7 @@ QUERIES: dict[str, Query] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op10_template_tree": op10_template_tree,
 }
 OP10_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
