@@ -223,7 +223,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     Of rows that share that id the one of the least text hash stays, and of equal rows any one.
     """
-    members, named = _groups(docs, doc_id, text)
+    return keep_chosen(docs, *_groups(docs, doc_id, text), doc_id, text)
+
+
+def keep_chosen(docs: DataFrame, members: DataFrame, named: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` (all of them in ``members``) that are ``chosen`` in ``named``."""
     chosen = cut(named.select("chosen.doc_id", "chosen.text_hash").distinct())
     key = lambda id_: F.coalesce(id_.cast("long"), F.lit(-(1 << 63)))
     keys = chosen.select(key(F.col("doc_id")).alias("k_id"), F.col("text_hash").alias("k_text"))
