@@ -29,3 +29,15 @@ def test_five_tokens_leave_no_field(spark):
 
 def test_lines_of_one_document_stay(spark):
     assert kept(spark, [LONG + "\n" + LONG.replace("mu", "nu")]) == [LONG + "\n" + LONG.replace("mu", "nu")]
+
+
+def test_short_lines_go_if_they_stand_in_many_documents(spark):
+    few, many = "see below", "All rights reserved."
+    texts = [f"{many}\n\n---\n{i}" + (f"\n{few}" if i < 9 else "") for i in range(12)]
+    got = kept(spark, texts)
+    assert got == [texts[0]] + [t.replace(many + "\n", "") for t in texts[1:]]
+
+
+def test_a_line_without_spaces_is_long_by_its_characters(spark):
+    line = "\u3053\u306e\u6587\u7ae0\u306f\u7a7a\u767d\u306a\u3057\u3067" * 3
+    assert kept(spark, [line, "x\n" + line, line[:8], line[:8]]) == [line, "x", line[:8], line[:8]]

@@ -7,7 +7,10 @@ Templates of fewer than ``min_tokens`` tokens are kept everywhere, since short l
 ``recurring_in_tree`` adds the template tree of fixed depth. A masked line goes down by its number
 of tokens, then by its leading tokens, to a leaf. In a leaf, lines that differ in at most a fifth of
 their tokens share a template, the differing places being variable fields too, if ``min_tokens``
-constant tokens are left. Each line is compared with the earliest line of every block of tokens
+constant tokens are left. A template of fewer than ``min_tokens`` tokens and ``MIN_CHARS`` characters
+is short: it recurs by chance, the more so the larger the corpus, and goes only if it stands in
+``SHORT_DOCS`` documents and in ``SHORT_SHARE`` of all; without a letter outside its fields (a blank
+line, a rule, a number) it stays. Length in characters serves scripts without spaces. Each line is compared with the earliest line of every block of tokens
 that it shares with others (one in a fifth differing leaves a block of ``blocks`` equal); lines that
 match none of those are compared with each other.
 
@@ -34,6 +37,9 @@ from tidemark.llm.common import cut
 
 MIN_TOKENS = 5
 DEPTH = 3
+MIN_CHARS = 24
+#: Documents that a short template stands in when that is no chance: at least so many, and such a share.
+SHORT_DOCS, SHORT_SHARE = 10, 1e-4
 
 
 def template(line: Column) -> Column:
@@ -92,13 +98,17 @@ def similar(templates: DataFrame, min_tokens: int = MIN_TOKENS, depth: int = DEP
 
 
 def recurring_in_tree(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_tokens: int = MIN_TOKENS, depth: int = DEPTH) -> DataFrame:
-    """As ``recurring``, with the variable fields that the tree finds."""
+    """As ``recurring``, with the variable fields that the tree finds and the short templates of many documents."""
     path = lambda t, words: F.struct(
-        F.xxhash64(t).alias("h"), F.xxhash64(F.size(words), F.substring_index(t, " ", depth)).alias("lead"), F.transform(words, lambda w: F.hash(w)).alias("words")
+        F.xxhash64(t).alias("h"), ((F.size(words) < min_tokens) & (F.length(t) < MIN_CHARS)).alias("short"), F.replace(t, F.lit("<*>"), F.lit("")).rlike(r"\p{L}").alias("letters"), F.xxhash64(F.size(words), F.substring_index(t, " ", depth)).alias("lead"), F.transform(words, lambda w: F.hash(w)).alias("words")
     )
     templates = F.transform(F.split(text, "\n", -1), template)
     own = docs.select(*doc_key(doc_id, text), F.posexplode(F.transform(templates, lambda t: path(t, F.split(t, " ")))).alias("pos", "line"))
-    rows = cut(own.where(F.size("line.words") >= min_tokens).select("key_id", "key_text", "pos", "line.*"))
+    rows = cut(own.where("NOT line.short OR line.letters").select("key_id", "key_text", "pos", "line.*"))
+    in_docs = rows.where("short").select("h", "key_id").distinct().groupBy("h").count()
+    chance = F.greatest(F.lit(SHORT_DOCS), SHORT_SHARE * F.lit(docs.count()))
+    often = cut(in_docs.where(F.col("count") >= chance).select("h"))
+    rows = rows.where("NOT short").unionByName(rows.where("short").join(often, "h", "left_semi").select(*rows.columns))
     first = cut(rows.groupBy("h").agg(F.min("key_id").alias("first"), F.max("key_id").alias("last"), F.first("lead").alias("lead")))
     shared = first.groupBy("lead").agg(F.min("h").alias("h1"), F.max("h").alias("h2")).where("h1 <> h2").select("lead")
     of = cut(first.join(shared, "lead", "left_semi").select("h", "first"))
