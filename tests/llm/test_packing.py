@@ -1,8 +1,11 @@
 """Packing: ids against the tokenizer, plans against bounds, places without gaps."""
 
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import packing as P
@@ -19,11 +22,52 @@ def ids(text):
     return tokenizers.Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [1]
 
 
-def test_ids_are_those_of_the_whole_text():
+@pytest.mark.parametrize("part", [5, 2_000_000])
+def test_ids_are_those_of_the_whole_text(part):
     words = P.WordIds(PATH)
-    words.MOST = 5  # generations change all the time
-    for t in TEXTS + TEXTS:
-        assert np.frombuffer(words.encode(t or ""), "<u4").tolist() + [1] == ids(t), t
+    words.MOST, words.PART = 5, part  # words are forgotten and texts cut all the time
+    got = [[1] for _ in TEXTS]
+    for row, own in words.encode(pa.array(TEXTS)):
+        got[row][-1:] = [*own.tolist(), 1]
+    assert got == [ids(t) for t in TEXTS]
+
+
+def optimum(items, capacity):
+    """Fewest bins by trying every bin for every item."""
+    best = len(items)
+
+    def go(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(items):
+            best = len(bins)
+            return
+        for k in {b: k for k, b in enumerate(bins) if b + items[i] <= capacity}.values():
+            go(i + 1, bins[:k] + [bins[k] + items[i]] + bins[k + 1 :])
+        go(i + 1, bins + [items[i]])
+
+    items = sorted(items, reverse=True)
+    go(0, [])
+    return best
+
+
+def test_search_is_exact_within_its_budget():
+    rng = random.Random(3)
+    cases = [(60, [8, 10, 12, 13, 14, 20, 23, 25, 27, 28, 29, 29]), (100, [21, 24, 25, 28, 29, 31, 37, 38, 39, 40, 40, 44, 45, 48])]
+    cases += [(c, [rng.randint(c // 12 + 1, c // 2 + 3) for _ in range(rng.randint(6, 13))]) for c in rng.choices([30, 60, 100], k=1500)]
+    branched = 0
+    for capacity, items in cases:
+        hist = dict(Counter(items))
+        branched += sum(n for _, n in P.best_fit(hist, capacity)) > P.lower_bound(hist, capacity)
+        plan, proven = P.search(hist, capacity, 100_000)
+        assert proven and sum(n for _, n in plan) == optimum(items, capacity) == sum(n for _, n in P.complete(hist, capacity, 100_000)), (capacity, items)
+    assert branched > 50
+
+
+def test_a_spent_budget_is_told():
+    plan, proven = P.search(dict(Counter(range(21, 49))), 100, 1)
+    assert sum(n for _, n in plan) >= P.lower_bound(dict(Counter(range(21, 49))), 100) and not proven
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -41,14 +85,6 @@ def test_plan_fits_and_is_complete(seed):
     assert P.lower_bound(hist, 60) <= sum(t for _, t in plan) <= sum(t for _, t in P.best_fit(hist, 60))
 
 
-def test_search_beats_best_fit_where_it_is_not_best():
-    hist = {6: 2, 5: 1, 4: 2, 3: 3, 2: 2}  # 38 in bins of 10
-    hist = {7: 1, 6: 1, 5: 2, 4: 1, 3: 1}
-    assert sum(t for _, t in P.complete(hist, 10)) == 3
-    wide = {44: 1, 24: 2, 22: 2, 17: 2, 8: 2, 6: 2}
-    assert sum(t for _, t in P.complete(wide, 61)) <= sum(t for _, t in P.best_fit(wide, 61))
-
-
 def test_pack(spark):
     rows = [(i, t, "de", 5) for i, t in enumerate(TEXTS)] + [(None, "no id", None, None), (3, TEXTS[3], "x", 0), (3, TEXTS[3], "x", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, offset string, piece int")
@@ -66,5 +102,12 @@ def test_pack(spark):
     assert got.groupby("sequence_id").length.sum().max() <= 4096
 
 
+def test_one_length_of_many_rows_is_ranked_in_parts(spark):
+    docs = spark.range(5000).selectExpr("id AS doc_id", "'same words' AS text")
+    got = P.pack(docs, PATH).toPandas().sort_values(["sequence_id", "offset"])
+    assert (got.offset == got.groupby("sequence_id").length.cumsum() - got.length).all()
+    assert got.doc_id.nunique() == 5000 and got.sequence_id.nunique() == -(-5000 // (4096 // got.length.iloc[0]))
+
+
 def test_empty_table(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
