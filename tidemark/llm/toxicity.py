@@ -7,11 +7,15 @@ never seen share most n-grams with the words they come from. The trained model i
 bag, so scoring needs one number for each word, which is kept for words that come again.
 
 Cases: null text is empty text; a document without words scores the bias alone; repeated rows are
-scored alike; without training rows every score is 0.5; other columns are ignored.
+scored alike, and are one row of the sample; equal places in hash order are settled by doc_id and
+text; without rows of both labels every score is the smoothed share of label 1 (0.5 without any
+row); an empty table gives no rows; other columns are ignored. Very long texts and words are scored
+whole, and are left out of the sample if over ``ROW_BYTES``. A document's label is the greatest that it has.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -24,18 +28,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
-#: The sample for training: at most so many rows, and so many bytes of text.
-SAMPLE_ROWS, SAMPLE_BYTES = 3000, 10_000_000
+#: The sample for training: at most so many rows, of so many bytes of text in all, and a row of so many.
+SAMPLE_ROWS, SAMPLE_BYTES, ROW_BYTES = 3000, 10_000_000, 200_000
+#: N-grams of a word that are hashed at once.
+BLOCK = 1 << 14
 #: Usual share of a telling n-gram in a document.
 SCALE = 0.003
 
 
-def grams(word: str, buckets: int, low: int = 3, high: int = 6) -> list[int]:
-    w = f"<{word[:64]}>"
-    out = [zlib.crc32(w.encode()) % buckets]
+def grams(word: str, buckets: int, low: int = 3, high: int = 6) -> Iterator[np.ndarray]:
+    """Buckets of the n-grams of a whole word and of the word itself, in blocks, so memory doesn't grow with the word."""
+    w = f"<{word}>"
+    yield np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets])
     for n in range(low, high + 1):
-        out += [zlib.crc32(w[i : i + n].encode()) % buckets for i in range(len(w) - n + 1)]
-    return out
+        for at in range(0, len(w) - n + 1, BLOCK):
+            starts = range(at, min(at + BLOCK, len(w) - n + 1))
+            yield np.array([zlib.crc32(w[i : i + n].encode("utf-8", "surrogatepass")) % buckets for i in starts])
 
 
 @dataclass
@@ -58,8 +66,10 @@ class Scorer(dict):
         self.model = model
 
     def __missing__(self, word: str) -> float:
-        g = grams(word, self.model.buckets)
-        x = float(self.model.weight[g].sum() / len(g))
+        total, n = 0.0, 0
+        for g in grams(word, self.model.buckets):
+            total, n = total + self.model.weight[g].sum(), n + len(g)
+        x = float(total / n)
         if len(self) >= self.MOST:
             self.clear()
         if len(word) < 64:
@@ -77,8 +87,9 @@ def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 18, di
 
     N-grams of fewer than ``least`` sample documents keep a zero vector: they would only be learnt by heart.
     """
-    if not texts or len(set(labels)) < 2:
-        return Model(np.zeros(buckets), 0.0, buckets)
+    if len(set(labels)) < 2:
+        ones = sum(labels)
+        return Model(np.zeros(buckets), math.log((ones + 1) / (len(labels) - ones + 1)), buckets)
     bags: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     cols, vals, ends = [], [], []
     for t in texts:
@@ -87,7 +98,7 @@ def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 18, di
         c, v = [np.zeros(0, np.int64)], [np.zeros(0)]
         for w, n in words.items():
             if w not in bags:
-                g = np.array(grams(w, buckets))
+                g = np.concatenate(list(grams(w, buckets)))  # a sampled text has ``ROW_BYTES`` at most
                 bags[w] = g, np.full(len(g), 1 / len(g))
             c.append(bags[w][0])
             v.append(bags[w][1] * (n / total))
@@ -137,18 +148,19 @@ def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 18, di
     return Model(weight, float(bias[1] - bias[0]), buckets)
 
 
-def sample(docs: DataFrame, labels: DataFrame, train_rows, label: str = "toxic", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> tuple[list, list]:
-    """Labelled rows in hash order, whole texts, up to ``rows`` and ``most_bytes``."""
+def sample(docs: DataFrame, labels: DataFrame, train_rows, label: str = "toxic", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, row_bytes: int = ROW_BYTES) -> tuple[list, list]:
+    """Whole texts and labels of labelled rows in hash order, without those of over ``row_bytes``, up to ``rows`` and ``most_bytes``."""
     marked = labels.select("doc_id", F.col(label).alias("y")).where(F.col("y").isNotNull() & train_rows(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    narrow = docs.select("doc_id", size.alias("n")).join(marked, "doc_id").withColumn("h", F.xxhash64(F.lit("toxicity"), "doc_id")).orderBy("h", "doc_id", "n").limit(rows)
-    chosen = narrow.withColumn("sum", F.sum("n").over(Window.orderBy("h", "doc_id", "n"))).where(F.col("sum") <= most_bytes).select("doc_id", "y")  # ``rows`` rows at most
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id").orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id", "text").limit(rows).toLocalIterator()
-    texts, ys = [], []
-    for r in got:
-        texts.append(r["text"])
-        ys.append(int(r["y"]))
-    return texts, ys
+    order = ["h", "doc_id", "t"]
+    narrow = docs.select("doc_id", size.alias("n"), F.xxhash64("text").alias("t")).where(F.col("n") <= row_bytes).join(marked, "doc_id")
+    narrow = narrow.withColumn("h", F.xxhash64(F.lit("toxicity"), "doc_id")).dropDuplicates(["doc_id", "t"]).orderBy(*order).limit(rows)
+    chosen = narrow.withColumn("sum", F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") <= most_bytes)  # ``rows`` rows at most
+    keys = chosen.select(F.col("doc_id").alias("c_id"), F.col("t").alias("c_t"), "h", "y")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    got = texts.join(F.broadcast(keys), (F.col("doc_id") == F.col("c_id")) & (F.col("t") == F.col("c_t"))).dropDuplicates(["doc_id", "t"])
+    taken = got.select("text", "y", *order).orderBy(*order).collect()  # ``most_bytes`` at most
+    return [r["text"] for r in taken], [int(r["y"]) for r in taken]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
