@@ -47,7 +47,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by two views; those under one half are rejected."""
     docs = table(spark, sf_dir, "documents")
-    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    made = quality.features(docs)
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"), made=made), made)
     return scored.withColumn("kept", F.col("score") >= 0.5)
 
 
