@@ -1,31 +1,30 @@
-"""Line dedup by log templates, in DataFrame functions only.
-
-``recurring`` is the contract of op10_line_dedup, as its SQL has it: a variable field, which is a
-token with a digit in it, is generalised to ``<*>``, and lines that are equal then share a template.
-Templates of fewer than ``min_tokens`` tokens are kept everywhere, since short lines recur by chance.
-
-``recurring_in_tree`` adds the template tree of fixed depth. A masked line goes down by its number
-of tokens, then by its leading tokens, to a leaf. In a leaf, lines that differ in at most a fifth of
-their tokens share a template, the differing places being variable fields too, if ``min_tokens``
-constant tokens are left. A template of fewer than ``min_tokens`` tokens and ``MIN_CHARS`` characters
-is short: it recurs by chance, the more so the larger the corpus, and goes only if it stands in
-``SHORT_DOCS`` documents and in ``SHORT_SHARE`` of all; without a letter outside its fields (a blank
-line, a rule, a number) it stays. Length in characters serves scripts without spaces. Each line is compared with the earliest line of every block of tokens
-that it shares with others (one in a fifth differing leaves a block of ``blocks`` equal); lines that
-match none of those are compared with each other.
-
-A template that recurs across documents is dropped from all of them but the one of the smallest id,
-where its content lives on: copies lose what they repeat, and no content is lost to the corpus.
-
-Only hashes are shuffled for the search: a template needs the smallest and the largest document that
-it came from, which combines before the shuffle, so a line in a third of all documents is one row
-a task. Texts are shuffled once, with the positions of the lines to drop.
-
-Cases: a null or empty text stays as it is; rows of one doc_id are one document, so they don't
-drop each other's lines; rows without a doc_id are one document, and come first; line ends are ``\\n``; case and
-white space between tokens don't count; a document all of whose lines recur becomes an empty text;
-every input column is kept, whatever its name; a variable field among the leading tokens is
-found only if it has a digit.
+"""Line dedup by a log-template tree of fixed depth, in DataFrame functions only.
+
+A line in lower case, with tokens that hold a digit as ``<*>``, goes down the tree by its number of
+tokens n, then by its ``depth`` leading tokens. Its other tokens are cut into blocks of a fifth of n (of
+one token at least). In its node a line has a leaf for each block: the template with that block
+as a variable field, ``<*>``, and all else constant. Lines of a leaf agree but for that field, so names
+and words vary as numbers do. A line of fewer than ``min_tokens`` + 1 tokens leaves no field, and its leaf is
+its own template. Leaves are equal or not, so templates need no pairs and don't depend on the order of lines.
+
+A line is dropped from its document if one of its leaves also holds a line of a document of smaller id, where
+its content lives on: copies lose what they repeat, and no content is lost to the corpus.
+
+A template of fewer than ``min_tokens`` tokens and ``MIN_CHARS`` characters is short: it recurs by chance,
+the more so the larger the corpus, and goes only if it stands in ``SHORT_DOCS`` documents and in
+``SHORT_SHARE`` of all; without a letter outside its fields (a blank line, a rule, a number) it stays.
+Length in characters serves scripts without spaces.
+
+Only hashes are shuffled for the search: a leaf needs the smallest and the largest document that it
+holds, which combines before the shuffle, so a line in a third of all documents is one row a task.
+Texts are shuffled once, with the positions of the lines to drop.
+
+Cases: a null or empty text stays as it is; rows of one doc_id are one document, so they don't drop
+each other's lines, and lines of one document don't; rows without a doc_id are one document, and come
+first; line ends are ``\\n``; case and white space between tokens don't count; a document all of whose lines
+recur becomes an empty text; an empty table gives no rows; every input column is kept, whatever its
+name. A very long text is one row in memory, once as its lines. A variable field among the leading tokens
+is found only if it has a digit, and one in other places only if it lies in one block.
 """
 
 from __future__ import annotations
@@ -48,10 +47,19 @@ def template(line: Column) -> Column:
     return F.regexp_replace(spaced, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", "<*>")
 
 
-def leaf(template: Column, depth: int = DEPTH) -> Column:
-    """Where a template stands in the tree, its number of tokens; and a hash of that, the leading tokens and the template itself."""
-    tokens = F.length(template) - F.length(F.replace(template, F.lit(" "), F.lit(""))) + 1
-    return F.struct(tokens.alias("tokens"), F.xxhash64(tokens, F.substring_index(template, " ", depth), F.xxhash64(template)).alias("h"))
+def leaves(template: Column, min_tokens: int = MIN_TOKENS, depth: int = DEPTH) -> Column:
+    """Hashes of the leaves of a template: its number of tokens, leading tokens and all blocks but one; or of itself."""
+    own = F.array(F.xxhash64(F.lit(-1), template))
+
+    def of(words: Column) -> Column:
+        n = F.size(words)
+        size = F.greatest(F.lit(1), F.floor(n / 5).cast("int"))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((n - depth - 1) / size).cast("int")), lambda i: F.xxhash64(i, F.slice(words, depth + 1 + i * size, size)))
+        node = F.xxhash64(n, F.slice(words, 1, depth))
+        but_one = lambda hs: F.transform(hs, lambda h, i: F.xxhash64(i, F.aggregate(hs, node, lambda a, x: a.bitwiseXOR(x)).bitwiseXOR(h)))
+        return F.when(n > F.greatest(F.lit(min_tokens), F.lit(depth)), F.get(F.transform(F.array(blocks), but_one), F.lit(0))).otherwise(own)
+
+    return F.get(F.transform(F.array(F.split(template, " ")), of), F.lit(0))
 
 
 def doc_key(doc_id: str, text: str) -> list[Column]:
@@ -61,68 +69,31 @@ def doc_key(doc_id: str, text: str) -> list[Column]:
 
 def recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_tokens: int = MIN_TOKENS, depth: int = DEPTH) -> DataFrame:
     """(key_id, key_text, positions): for each document the sorted positions of its lines to drop, from 0."""
-    # Templates are bound by lambdas below a generator, so that no filter makes Spark work them out again.
-    templates = F.transform(F.split(text, "\n", -1), template)
-    own = docs.select(*doc_key(doc_id, text), F.posexplode(F.transform(templates, lambda t: leaf(t, depth))).alias("pos", "leaf"))
-    rows = cut(own.where(F.col("leaf.tokens") >= min_tokens).select("key_id", "key_text", "pos", F.col("leaf.h").alias("h")))
-    first = cut(rows.groupBy("h").agg(F.min("key_id").alias("first"), F.max("key_id").alias("last")).where("first <> last").select(F.col("h").alias("of_h"), "first"))
-    gone = rows.join(first, F.col("h") == F.col("of_h")).where("key_id <> first")
-    return gone.groupBy("key_id", "key_text").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
 
+    def line(t: Column) -> Column:
+        tokens = F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1
+        short = (tokens < min_tokens) & (F.length(t) < MIN_CHARS)
+        return F.struct(short.alias("short"), (~short | F.replace(t, F.lit("<*>"), F.lit("")).rlike(r"\p{L}")).alias("telling"), leaves(t, min_tokens, depth).alias("leaves"))
 
-def similar(templates: DataFrame, min_tokens: int = MIN_TOKENS, depth: int = DEPTH) -> DataFrame:
-    """(of_h, low): the smallest document of the earlier lines that share the template of a masked line.
-
-    ``templates``: a row for each masked line of a leaf with others: h, lead (the leaf), words (a hash of each token), first.
-    """
-    n = F.size("words")
-    most = F.greatest(F.lit(0), F.least(F.floor(n / F.lit(5)).cast("int"), n - min_tokens))  # places that may differ
-    t = cut(templates.where(n > depth).withColumn("most", most).where("most > 0"))
-    size = F.ceil((F.size("words") - depth) / (F.col("most") + 1)).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.col("most")), lambda i: F.xxhash64("lead", i, F.slice("words", depth + 1 + i * F.col("size"), F.col("size"))))
-    keys = cut(t.withColumn("size", size).select("h", "first", F.explode(blocks).alias("key")))
-    words = t.select("h", "words", "most", "first")
-    a = words.select(F.col("h").alias("a"), F.col("words").alias("words_a"), F.col("first").alias("first_a"))
-    b = words.select(F.col("h").alias("b"), F.col("words").alias("words_b"), F.col("most"))
-    equal = F.size(F.filter(F.zip_with("words_a", "words_b", lambda x, y: x == y), lambda x: x))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return pairs.distinct().join(a, "a").join(b, "b").where(F.size("words_a") == F.size("words_b")).where(equal >= F.size("words_b") - F.col("most")).select("b", F.col("first_a").alias("low"))
-
-    best = keys.groupBy("key").agg(F.min(F.struct("first", "h")).alias("best"), F.count("*").alias("n")).where("n > 1").select("key", "best")
-    star = cut(verified(keys.join(best, "key").select(F.col("best.h").alias("a"), F.col("h").alias("b")).where("a <> b")))
-    left = cut(keys.join(star.select(F.col("b").alias("h")), "h", "left_anti"))
-    l, r = left.select("key", F.col("h").alias("a"), F.col("first").alias("f")), left.select("key", F.col("h").alias("b"), F.col("first").alias("g"))  # noqa: E741
-    rest = verified(l.join(r, "key").where(F.struct("f", "a") < F.struct("g", "b")).select("a", "b"))
-    return star.unionByName(rest).groupBy("b").agg(F.min("low").alias("low")).withColumnRenamed("b", "of_h")
-
-
-def recurring_in_tree(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_tokens: int = MIN_TOKENS, depth: int = DEPTH) -> DataFrame:
-    """As ``recurring``, with the variable fields that the tree finds and the short templates of many documents."""
-    path = lambda t, words: F.struct(
-        F.xxhash64(t).alias("h"), ((F.size(words) < min_tokens) & (F.length(t) < MIN_CHARS)).alias("short"), F.replace(t, F.lit("<*>"), F.lit("")).rlike(r"\p{L}").alias("letters"), F.xxhash64(F.size(words), F.substring_index(t, " ", depth)).alias("lead"), F.transform(words, lambda w: F.hash(w)).alias("words")
-    )
-    templates = F.transform(F.split(text, "\n", -1), template)
-    own = docs.select(*doc_key(doc_id, text), F.posexplode(F.transform(templates, lambda t: path(t, F.split(t, " ")))).alias("pos", "line"))
-    rows = cut(own.where("NOT line.short OR line.letters").select("key_id", "key_text", "pos", "line.*"))
-    in_docs = rows.where("short").select("h", "key_id").distinct().groupBy("h").count()
+    # Templates are bound by lambdas below a generator, so that no filter makes Spark work them out again.
+    templates = F.transform(F.transform(F.split(text, "\n", -1), template), line)
+    own = docs.select(*doc_key(doc_id, text), F.posexplode(templates).alias("pos", "line"))
+    lines = cut(own.where("line.telling").select("key_id", "key_text", "pos", "line.short", "line.leaves"))
+    leaf = F.get("leaves", F.lit(0)).alias("leaf")
+    in_docs = lines.where("short").select(leaf, "key_id").distinct().groupBy("leaf").count()
     chance = F.greatest(F.lit(SHORT_DOCS), SHORT_SHARE * F.lit(docs.count()))
-    often = cut(in_docs.where(F.col("count") >= chance).select("h"))
-    rows = rows.where("NOT short").unionByName(rows.where("short").join(often, "h", "left_semi").select(*rows.columns))
-    first = cut(rows.groupBy("h").agg(F.min("key_id").alias("first"), F.max("key_id").alias("last"), F.first("lead").alias("lead")))
-    shared = first.groupBy("lead").agg(F.min("h").alias("h1"), F.max("h").alias("h2")).where("h1 <> h2").select("lead")
-    of = cut(first.join(shared, "lead", "left_semi").select("h", "first"))
-    texts = rows.join(of, "h").groupBy("h").agg(F.first("lead").alias("lead"), F.first("words").alias("words"), F.first("first").alias("first"))
-    low = similar(texts, min_tokens, depth)
-    keep = cut(first.join(low, F.col("h") == F.col("of_h"), "left").where("first <> last OR of_h IS NOT NULL").select(F.col("h").alias("t_h"), F.least("first", "low").alias("keep")))
-    gone = rows.select("key_id", "key_text", "pos", "h").join(keep, F.col("h") == F.col("t_h")).where("key_id <> keep")
+    often = cut(in_docs.where(F.col("count") >= chance).select("leaf"))
+    rows = lines.where("NOT short").select("key_id", "key_text", "pos", F.explode("leaves").alias("leaf"))
+    rows = rows.unionByName(lines.where("short").select("key_id", "key_text", "pos", leaf).join(often, "leaf", "left_semi").select(*rows.columns))
+    first = cut(rows.groupBy("leaf").agg(F.min("key_id").alias("first"), F.max("key_id").alias("last")).where("first <> last").select(F.col("leaf").alias("of_leaf"), "first"))
+    gone = rows.join(first, F.col("leaf") == F.col("of_leaf")).where("key_id <> first")
     return gone.groupBy("key_id", "key_text").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
 
 
-def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_tokens: int = MIN_TOKENS, depth: int = DEPTH, find=recurring) -> DataFrame:
-    """``docs`` with the same rows and columns; the lines that ``find`` gives are gone from ``text``, and n_chars follows if it is a column."""
+def drop_recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_tokens: int = MIN_TOKENS, depth: int = DEPTH) -> DataFrame:
+    """``docs`` with the same rows and columns; the lines that ``recurring`` gives are gone from ``text``, and n_chars follows if it is a column."""
     cols = docs.columns
-    gone = find(docs, doc_id, text, min_tokens, depth)
+    gone = recurring(docs, doc_id, text, min_tokens, depth)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), *doc_key(doc_id, text))
     joined = packed.join(gone, ["key_id", "key_text"], "left")
     old = F.col("row").getField(text)

@@ -68,19 +68,10 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the lines whose masked lines recur, with counts of the lines before and after."""
-    return _line_dedup(spark, sf_dir, line_templates.recurring)
-
-
-def op10_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op10_line_dedup, by the template tree that the pipeline uses."""
-    return _line_dedup(spark, sf_dir, line_templates.recurring_in_tree)
-
-
-def _line_dedup(spark: SparkSession, sf_dir: str, find: Callable[..., DataFrame]) -> DataFrame:
+    """All documents without the lines whose templates recur, with counts of the lines before and after."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lines = lambda c: (F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    out = line_templates.drop_recurring_lines(docs.withColumn("lines_before", lines(F.col("text"))), find=find)
+    out = line_templates.drop_recurring_lines(docs.withColumn("lines_before", lines(F.col("text"))))
     return out.select("doc_id", "lines_before", F.when(F.col("text") == "", F.lit(0).cast("long")).otherwise(lines(F.col("text"))).alias("lines_after"), "text")
 
 
@@ -123,18 +114,25 @@ QUERIES: dict[str, Query] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_line_dedup": op10_line_dedup,
-    "op10_template_tree": op10_template_tree,
 }
-OP10_SQL = r"""
+OP10_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 l AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
 t AS (SELECT *, regexp_replace(trim(regexp_replace(lower(line), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS template FROM l),
-n AS (SELECT *, len(string_split(template, ' ')) >= 5 AND count(DISTINCT doc_id) OVER (PARTITION BY template) > 1 AND doc_id <> min(doc_id) OVER (PARTITION BY template) AS gone FROM t),
-k AS (SELECT r, string_agg(line, chr(10) ORDER BY pos) AS kept FROM n WHERE NOT gone GROUP BY r)
+w AS (SELECT *, string_split(template, ' ') AS w, len(string_split(template, ' ')) AS n FROM t),
+s AS (SELECT *, n < {line_templates.MIN_TOKENS} AND length(template) < {line_templates.MIN_CHARS} AS short, greatest(1, n // 5) AS size FROM w),
+often AS (SELECT template FROM s WHERE short AND regexp_matches(replace(template, '<*>', ''), '\p{{L}}') GROUP BY template
+  HAVING count(DISTINCT doc_id) >= greatest({line_templates.SHORT_DOCS}, {line_templates.SHORT_SHARE} * (SELECT count(*) FROM documents))),
+k AS (SELECT r, doc_id, pos, template AS leaf FROM s WHERE (NOT short AND n <= {line_templates.MIN_TOKENS}) OR (short AND template IN (FROM often))
+  UNION ALL SELECT r, doc_id, pos, concat(n, ':', i, ':', array_to_string(w[:{line_templates.DEPTH} + i * size], ' '), ' <field> ', array_to_string(w[{line_templates.DEPTH} + (i + 1) * size + 1:], ' ')) AS leaf
+  FROM (SELECT *, unnest(range(0, (n - {line_templates.DEPTH} - 1) // size + 1)) AS i FROM s WHERE n > {line_templates.MIN_TOKENS})),
+f AS (SELECT leaf, min(doc_id) AS first FROM k GROUP BY leaf HAVING count(DISTINCT doc_id) > 1),
+g AS (SELECT DISTINCT r, pos FROM k JOIN f USING (leaf) WHERE doc_id <> first),
+o AS (SELECT r, string_agg(line, chr(10) ORDER BY pos) AS kept FROM l ANTI JOIN g USING (r, pos) GROUP BY r)
 SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS lines_before,
   CASE WHEN text IS NULL THEN NULL WHEN coalesce(kept, '') = '' THEN 0 ELSE length(kept) - length(replace(kept, chr(10), '')) + 1 END AS lines_after,
   CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END AS text
-FROM d LEFT JOIN k USING (r)
+FROM d LEFT JOIN o USING (r)
 """
 
 _NOTICES = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in licenses.TEMPLATES.items())
