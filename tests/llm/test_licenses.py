@@ -45,11 +45,23 @@ def test_matches_brute_force(spark):
         rows.append((100 + i, noise(rng.randrange(60)) + "\n" + changed(rng, t, i // len(L.TEMPLATES)).upper() + ". " + noise(rng.randrange(60))))
     rows.append((4, noise(9000) + " " + L.TEMPLATES["mpl-2.0"]))
     docs = spark.createDataFrame([(*r, "x", 0.5) for r in rows + rows[-3:]], "doc_id long, text string, license string, containment double")
+    want = brute(rows, L.TEMPLATES)
     got = {tuple(r) for r in L.find_licenses(docs).collect()}
-    assert got == brute(rows, L.TEMPLATES)
+    assert got == want
     assert len({g[1] for g in got}) == len(L.TEMPLATES) and (None, "mit", 1.0, 0) in got
 
 
+def test_the_bands_alone_retrieve(spark):
+    rng = random.Random(9)
+    noise = lambda n: " ".join(rng.choice(["lorem", "ipsum", "license", "the", "software"]) for _ in range(n))
+    few = {k: L.TEMPLATES[k] for k in ("mit", "isc", "apache-2.0", "cc-by-4.0")}
+    rows = [(i, noise(rng.randrange(40)) + " " + changed(rng, t, i % 3) + " " + noise(rng.randrange(40))) for i, t in enumerate(list(few.values()) * 4)] + [(90, ""), (91, None), (92, noise(200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame(list(few.items()), "license string, text string")
+    plain, inlined = (L.find_licenses(docs, table, inline=n) for n in (0, 10**6))
+    assert {tuple(r) for r in plain.collect()} == {tuple(r) for r in inlined.collect()} == brute(rows, few)
+
+
 def test_bands_guarantee_collisions():
     for bound, smallest in zip(L.bounds(500)[1:], [b + 1 for b in L.bounds(500)]):
         s = L.least_jaccard(smallest, bound)
@@ -66,4 +78,4 @@ def test_probe_words_lose_nothing():
 
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert L.find_licenses(docs).collect() == [] and L.find_licenses(docs, {"short": "MIT"}).collect() == [] and L.find_licenses(docs, {}).columns == ["doc_id", "license", "containment", "first_word"]
+    assert L.find_licenses(docs).collect() == [] and L.find_licenses(docs, {"short": "MIT"}).collect() == [] and L.find_licenses(docs, spark.createDataFrame([], "license string, text string")).columns == ["doc_id", "license", "containment", "first_word"]
