@@ -77,3 +77,25 @@ def test_empty_table(spark):
 def test_long_text_is_read_whole():
     words = " ".join(str(i) for i in range(70000))
     assert S.fingerprint(S.shingle_hashes(words)) == S.fingerprint(np.array([xxhash.xxh64_intdigest(" ".join(words.split()[i : i + 3]), 42) for i in range(69998)], np.uint64))
+
+
+def test_a_long_bucket_is_dealt_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(S, "BUCKET", 5)
+    rng = np.random.default_rng(7)
+    centre = rng.integers(0, 1 << 63, dtype=np.uint64)
+    fps = np.unique(np.array([centre ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(1, 4)).astype(np.uint64)) for _ in range(200)]))
+    frame = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    from tidemark.llm.graph import components
+
+    got = {r["node"]: r["component"] for r in components(S.links(frame)).collect()}
+    want = brute_components(fps.view(np.int64).tolist(), [int(f) for f in fps])
+    assert [got.get(f, f) for f in fps.view(np.int64).tolist()] == want
+
+
+def test_null_ids_and_repeats(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(None, text, "x"), (5, text, "x"), (5, text, "x"), (5, "other words here now", "x"), (None, "alone in the dark", "x")], "doc_id long, text string, low string")
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["component_id"]) for r in S.near_duplicates(docs).collect() if r["component_id"] is not None)
+    assert got == [(False, 5, 5)] * 3 + [(True, 0, 5)]
+    kept = S.keep_one(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "alone in the dark"), (5, text), (5, "other words here now")]

@@ -88,9 +88,14 @@ def loss_mask(formatted: Column, role: str = "assistant") -> Column:
 
 
 def masked_texts(formatted: Column, role: str = "assistant") -> Column:
-    """The unescaped texts under the loss mask, read from the formatted conversation."""
-    masked = F.filter(pieces(formatted), lambda p: unescape(_fields(p)[0]) == role)
-    return F.transform(masked, lambda p: unescape(_fields(p)[1]))
+    """The texts under the loss mask, cut out of the formatted conversation by the mask's runs, and unescaped."""
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("texts"))
+
+    def step(state: Column, run: Column) -> Column:
+        text = F.array(unescape(F.substr(formatted, state["at"], run["length"])))
+        return F.struct((state["at"] + run["length"]).alias("at"), F.when(run["loss"], F.concat(state["texts"], text)).otherwise(state["texts"]).alias("texts"))
+
+    return F.aggregate(loss_mask(formatted, role), start, step, lambda s: s["texts"])
 
 
 def format_conversations(turns: DataFrame, controls: Sequence[str] = CONTROLS) -> DataFrame:

@@ -11,12 +11,14 @@ key of a word between them. Of three errors in all,
   (four key kinds).
 
 So every pair within three bits shares a key of 33 bits or more, and random pairs seldom do.
-Buckets are streamed in key order; a task holds the fingerprints of one bucket (8 bytes each),
-compares them in blocks, and returns a forest of links, never pairs.
+Buckets are streamed in key order; a bucket of over ``BUCKET`` distinct fingerprints is dealt out in parts,
+and each pair of parts is compared for itself. A task compares what it holds in blocks, and returns a
+forest of links, never pairs.
 
 Cases: null text is empty text; a text without words has fingerprint zero, linked like any other;
 repeated rows share a component; a null doc_id is a row that never names a component unless all
-of it are null; an empty table gives no rows; other columns are ignored.
+of it are null; an empty table gives no rows; other columns are ignored. A very long text is one row in
+memory with 8 bytes a word. Of a component's rows of the smallest doc_id the one of the least text hash stays.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from tidemark.llm.graph import components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 DISTANCE = 3
+#: Fingerprints of a bucket that a task holds of either of two parts.
+BUCKET = 4000
 
 
 # --- fingerprints -------------------------------------------------------------------------------
@@ -173,11 +177,12 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row])], names=["key", "fp"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = np.zeros((4, 0), np.int64)  # key, lo, hi, fp
 
-        def done(keys: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-            size = np.diff(np.append(cuts, len(keys)))
+        def done(rows: np.ndarray) -> pa.RecordBatch:
+            fp = rows[3]
+            cuts = np.flatnonzero(np.concatenate([[True], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)])) if len(fp) else np.zeros(0, int)
+            size = np.diff(np.append(cuts, len(fp)))
             two = cuts[size == 2]
             two = two[np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= distance]
             a, b = [fp[two]], [fp[two + 1]]
@@ -190,15 +195,23 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
         for batch in batches:
-            keys = np.concatenate([held_k, batch.column(0).to_numpy()])
-            fp = np.concatenate([held_f, batch.column(1).to_numpy()])
-            last = np.searchsorted(keys, keys[-1]) if len(keys) else 0
-            yield done(keys[:last], fp[:last])
-            held_k, held_f = keys[last:], fp[last:]
-        yield done(held_k, held_f)
+            rows = np.concatenate([held, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])], axis=1)
+            if not rows.shape[1]:
+                continue
+            last = int(np.flatnonzero((rows[:3] == rows[:3, -1:]).all(axis=0))[0])
+            yield done(rows[:, :last])
+            held = rows[:, last:]
+        yield done(held)
 
     keyed = fps.select("fp").mapInArrow(emit, "key long, fp long")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long").distinct()
+    long = cut(keyed.groupBy("key").count().where(F.col("count") > BUCKET).select(F.col("key").alias("long_key"), F.ceil(F.col("count") / BUCKET).cast("int").alias("parts")))
+    if long.take(1):
+        dealt = keyed.join(long, F.col("key") == F.col("long_key"), "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
+    else:
+        dealt = keyed.select("key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "fp")
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(verify, "a long, b long").distinct()
 
 
 def _groups(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
