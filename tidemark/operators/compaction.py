@@ -27,9 +27,20 @@ def overlap_neighbours(manifest: DataFrame) -> DataFrame:
     return nxt.where(overlaps(F.col("min_key"), F.col("max_key"), F.col("n.min_key"), F.col("n.max_key"))).select("level", "seg_a", F.col("n.seg").alias("seg_b"))
 
 
-def merge(rows: DataFrame, level: int | Column, drop_tombstones: bool = False) -> DataFrame:
-    """One run of rows from several segments: the latest per key. Tombstones may go only if every older row is here too."""
-    out = latest(rows)
+def overlap_groups(manifest: DataFrame) -> DataFrame:
+    """(level, seg, grp): segments of a level whose ranges chain together have one group, named by its least key.
+
+    One pass over the catalog in key order with the greatest key so far; no pairs.
+    """
+    w = Window.partitionBy("level").orderBy("min_key", "seg")
+    reach = F.max("max_key").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    starts = manifest.withColumn("start", F.when(reach.isNull() | (reach < F.col("min_key")), F.col("min_key")))
+    return starts.select("level", "seg", F.last("start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("grp"))
+
+
+def merge(rows: DataFrame, level: int | Column, drop_tombstones: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """One run of rows from several segments (for each ``by``): the latest per key. Tombstones may go only if every older row is here too."""
+    out = latest(rows, *by)
     if drop_tombstones:
         out = out.where("op = 'INSERT'")
     return out.withColumn("level", level if isinstance(level, Column) else F.lit(level))

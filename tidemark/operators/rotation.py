@@ -23,14 +23,21 @@ def rotate(log: DataFrame, threshold: int = 1024) -> DataFrame:
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, table, used = None, 0, 0
         for b in batches:
+            shards, sizes = b["shard"].to_numpy(), b["bytes"].to_numpy()
             out = np.zeros(len(b), np.int64)
-            for i, (s, n) in enumerate(zip(b["shard"].to_numpy(), b["bytes"].to_numpy())):
-                if s != shard:
-                    shard, table, used = s, 0, 0
-                out[i] = table
-                used += n
-                if used >= threshold:
-                    table, used = table + 1, 0
+            cuts = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1]])) if len(b) else np.zeros(0, int)
+            for lo, hi in zip(cuts, np.append(cuts[1:], len(b))):
+                if shards[lo] != shard:
+                    shard, table, used = shards[lo], 0, 0
+                total = np.cumsum(sizes[lo:hi])
+                at, base = 0, -used
+                while at < hi - lo:  # one step a rotation
+                    full = int(np.searchsorted(total, threshold + base))  # the row that fills the memtable
+                    out[lo + at : lo + full + 1] = table
+                    if full >= hi - lo:
+                        break
+                    at, base, table = full + 1, int(total[full]), table + 1
+                used = int(total[-1]) - base
             yield b.assign(memtable=out)
 
     sized = log.select("seq", "shard", record_size(F.col("k"), F.col("vtype"), F.col("v")).cast("long").alias("bytes"))

@@ -22,12 +22,15 @@ def tombstones(log: DataFrame) -> DataFrame:
 
 def multi_get(keys: DataFrame, log: DataFrame) -> DataFrame:
     """(k, reply, found) for each row of ``keys``. A missing key reads ``null``, as does that string."""
-    view = live(log).select(F.col("k").alias("live_k"), "v")
+    wanted = log.join(keys.select("k").distinct(), "k", "left_semi")  # before the aggregation; broadcast if Spark finds it small
+    view = live(wanted).select(F.col("k").alias("live_k"), "v")
     return keys.join(view, F.col("k") == F.col("live_k"), "left").select("k", F.coalesce("v", F.lit("null")).alias("reply"), F.col("live_k").isNotNull().alias("found"))
 
 
-def answering_tier(log: DataFrame, newest: int) -> DataFrame:
-    """Which tier holds the answer for each live key: the memtable (the newest batch), the queued one, or a segment."""
-    seg = F.floor(F.col("seq") / 1000).cast("long")
+def answering_tier(log: DataFrame) -> DataFrame:
+    """Which tier holds the answer for each live key: the memtable (the newest batch ``seg``), the queued one, or a segment."""
+    newest = log.agg(F.max("seg")).scalar()
+    last = F.max_by(F.struct("op", "v", "seg"), "seq")
+    seg = F.col("seg")
     tier = F.when(seg == newest, "memtable").when(seg == newest - 1, "immutable").otherwise("segment")
-    return live(log).select("k", "v", tier.alias("tier"))
+    return log.groupBy("k").agg(last.alias("last")).select("k", "last.*").where("op = 'INSERT'").select("k", "v", tier.alias("tier"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import bloom, codec, values
-from tidemark.operators import compaction, rotation, state
-from tidemark.operators.floor import floor_lookup
-from tidemark.sources import changelog, segments
+from tidemark.operators import compaction, ordered, rotation, state
+from tidemark.operators.floor import block_scan, floor_lookup
+from tidemark.sources import changelog, files, segments
+from tidemark.store import Store
 from tidemark.streaming import engine
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,11 +47,8 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder beside the cluster's checkpoints; a temporary one where none is named, as in tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{named or tempfile.mkdtemp()}/{uuid.uuid4()}"
+    """A new folder beside the cluster's checkpoints."""
+    return f"{files.shared_folder(spark)}/{uuid.uuid4()}"
 
 
 LOG = """
@@ -162,9 +159,35 @@ def block_index(spark, sf_dir):
 @query(f"WITH {LOG}, {_BLOCKS}, probes AS (SELECT seg - 1 AS seg, k FROM flushed WHERE seg > 0) SELECT p.seg, p.k, b.blk, b.first_key FROM probes p ASOF LEFT JOIN blocks b ON p.seg = b.seg AND p.k >= b.first_key")
 def block_floor_lookup(spark, sf_dir):
     """The block of a segment that may hold each key of the next segment."""
-    rows = flushed(spark, sf_dir)
+    return _floors(files.staged(flushed(spark, sf_dir)))
+
+
+def _floors(rows, blocked=None):
     probes = rows.where("seg > 0").select((F.col("seg") - 1).alias("seg"), "k")
-    return floor_lookup(probes, segments.block_index(rows), "seg", "k", "blk", "first_key")
+    index = segments.block_index(rows) if blocked is None else segments.index_of(blocked)
+    return floor_lookup(probes, index, "seg", "k", "blk", "first_key")
+
+
+@query(f"""WITH {LOG}, {_BLOCKS}, probes AS (SELECT seg - 1 AS seg, k FROM flushed WHERE seg > 0), fl AS (SELECT p.seg, p.k, b.blk FROM probes p ASOF LEFT JOIN blocks b ON p.seg = b.seg AND p.k >= b.first_key)
+SELECT fl.seg, fl.k, fl.blk, f.op, f.vtype, f.v, f.seq FROM fl LEFT JOIN flushed f ON f.seg = fl.seg AND f.k = fl.k""")
+def block_bounded_read(spark, sf_dir):
+    """Each key of the next segment read from the one block of a segment that may hold it."""
+    rows = files.staged(flushed(spark, sf_dir))
+    blocked = files.staged(segments.blocks(rows))
+    return block_scan(_floors(rows, blocked), blocked)
+
+
+@query(f"WITH {LOG} SELECT *, row_number() OVER (ORDER BY max_seq DESC) - 1 AS place FROM catalog")
+def segment_listing(spark, sf_dir):
+    """The catalog newest first."""
+    return segments.newest_first(catalog(spark, sf_dir))
+
+
+@query(f"""WITH {LOG}, r AS (SELECT *, max(max_key) OVER (PARTITION BY level ORDER BY min_key, seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM catalog)
+SELECT level, seg, (SELECT max(s.min_key) FROM r s WHERE s.level = r.level AND (s.reach IS NULL OR s.reach < s.min_key) AND s.min_key <= r.min_key) AS grp FROM r""")
+def overlap_groups(spark, sf_dir):
+    """Segments that a compaction merges together."""
+    return compaction.overlap_groups(catalog(spark, sf_dir))
 
 
 @query(f"WITH {LOG} SELECT a.level, a.seg AS seg_a, b.seg AS seg_b FROM catalog a JOIN catalog b ON a.level = b.level AND a.seg < b.seg AND a.min_key <= b.max_key AND b.min_key <= a.max_key")
@@ -179,10 +202,18 @@ def overlap_neighbours(spark, sf_dir):
     return compaction.overlap_neighbours(catalog(spark, sf_dir))
 
 
-@query(f"WITH {LOG} SELECT k, op, vtype, v, seq, 1 AS level FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM flushed WHERE seg IN (0, 1)) WHERE r = 1")
+_PAIRS = "merged AS (SELECT * FROM (SELECT *, seg // 2 AS pair, row_number() OVER (PARTITION BY seg // 2, k ORDER BY seq DESC) AS r FROM flushed) WHERE r = 1)"
+
+
+def merged_pairs(rows):
+    """Segments 0 and 1, 2 and 3, and so on merged, all in one grouped pass."""
+    return compaction.merge(rows.withColumn("pair", F.floor(F.col("seg") / 2).cast("long")), 1, by=("pair",))
+
+
+@query(f"WITH {LOG}, {_PAIRS} SELECT pair, k, op, vtype, v, seq, 1 AS level FROM merged")
 def compact_pair(spark, sf_dir):
-    """Two segments merged, tombstones kept, one level up."""
-    return compaction.merge(flushed(spark, sf_dir).where("seg IN (0, 1)"), 1)
+    """All segments merged in twos, tombstones kept, one level up."""
+    return merged_pairs(flushed(spark, sf_dir))
 
 
 @query(f"WITH {LOG} SELECT k, op, vtype, v, seq, 1 AS level FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM flushed) WHERE r = 1 AND op = 'INSERT'")
@@ -191,23 +222,47 @@ def full_compaction(spark, sf_dir):
     return compaction.merge(flushed(spark, sf_dir), 1, drop_tombstones=True)
 
 
-@query(f"WITH {LOG} SELECT k, vtype, v, seq FROM latest WHERE op = 'INSERT'")
+_LIVE = f"WITH {LOG} SELECT k, vtype, v FROM latest WHERE op = 'INSERT'"
+
+
+def appended(spark, sf_dir, store, parts, after):
+    """The log appended in ``parts`` ranges of seq, with a call after each."""
+    ops = log(spark, sf_dir).select(F.col("seq").alias("id"), "k", "op", "vtype", "v")
+    top = ops.agg(F.max("id")).first()[0] or 0
+    for i in range(parts):
+        store.append(ops.where((F.col("id") >= top * i // parts + (i > 0)) & (F.col("id") <= top * (i + 1) // parts)))
+        after(i)
+
+
+@query(_LIVE)
 def wal_replay(spark, sf_dir):
-    """Segments 0 to 7 and the raw log after them give the same view."""
-    ops = log(spark, sf_dir)
-    cols = ["k", "op", "vtype", "v", "seq"]
-    return state.live(segments.flush(ops.where("seg < 8")).select(*cols).unionByName(ops.where("seg >= 8").select(*cols)))
+    """A store that is logged to, flushed in part, and opened again on its log files."""
+    root = f"{work_dir(spark)}/store"
+    store = Store(spark, root)
+    appended(spark, sf_dir, store, 4, lambda i: store.flush(compact=False) if i == 1 else None)
+    return Store(spark, root).live().select("k", "vtype", "v")
+
+
+@query(_LIVE)
+def store_compaction(spark, sf_dir):
+    """A store whose flushes wake the compaction, which merges until nothing overlaps."""
+    store = Store(spark, f"{work_dir(spark)}/store")
+    appended(spark, sf_dir, store, 3, lambda i: store.flush())
+    return store.live().select("k", "vtype", "v")
 
 
-@query(f"""WITH {LOG}, merged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM flushed WHERE seg IN (0, 1)) WHERE r = 1)
-SELECT * FROM catalog WHERE seg NOT IN (0, 1) UNION ALL SELECT (SELECT max(seg) + 1 FROM catalog), 1, count(*), min(k), max(k), min(seq), max(seq) FROM merged""")
+@query(f"""WITH {LOG}, {_PAIRS}, twos AS (SELECT seg // 2 AS pair FROM catalog GROUP BY pair HAVING count(*) = 2)
+SELECT * FROM catalog WHERE seg // 2 NOT IN (FROM twos) UNION ALL
+SELECT (SELECT max(seg) + 1 FROM catalog) + pair, 1, count(*), min(k), max(k), min(seq), max(seq) FROM merged WHERE pair IN (FROM twos) GROUP BY pair""")
 def catalog_swap(spark, sf_dir):
-    """The catalog after segments 0 and 1 have been merged."""
-    rows, now = flushed(spark, sf_dir), catalog(spark, sf_dir)
-    merged = compaction.merge(rows.where("seg IN (0, 1)"), 1).withColumn("seg", F.lit(0).cast("long"))
-    new_id = now.agg((F.max("seg") + 1).alias("new_id"))
-    added = segments.manifest(merged, 1).crossJoin(F.broadcast(new_id)).withColumn("seg", F.col("new_id"))  # one row by one row
-    return compaction.swap(now, spark.range(2).select(F.col("id").alias("seg")), added)
+    """The catalog after all segments have been merged in twos; one left over stays."""
+    rows = flushed(spark, sf_dir)
+    now = files.staged(segments.manifest(rows))
+    two = now.groupBy(F.floor(F.col("seg") / 2).cast("long").alias("pair")).count().where("count = 2").select("pair")
+    new_id = now.agg(F.max("seg") + 1).scalar() + F.col("seg")
+    added = segments.manifest(merged_pairs(rows).join(two, "pair", "left_semi").withColumnRenamed("pair", "seg"), 1).withColumn("seg", new_id)
+    gone = now.withColumn("pair", F.floor(F.col("seg") / 2).cast("long")).join(two, "pair", "left_semi")
+    return compaction.swap(now, gone, added)
 
 
 _SIZE = "(strlen(k) + CASE WHEN length(k) < 128 THEN 1 ELSE 2 END + CASE WHEN vtype = 'STRING' THEN strlen(v) + CASE WHEN length(v) < 128 THEN 1 ELSE 2 END WHEN vtype = 'INT' THEN {vint} ELSE 1 END)::BIGINT"
@@ -227,10 +282,18 @@ def memtable_rotation(spark, sf_dir):
 SELECT seg, k, CASE WHEN prev IS NULL THEN 0 ELSE len(list_filter(range(1, least(length(k), length(prev)) + 1), lambda i: left(k, i) = left(prev, i))) END::INT AS shared FROM o""")
 def prefix_share(spark, sf_dir):
     """Characters that each key shares with the one before it in its segment."""
-    from pyspark.sql import Window
+    rows = ordered.previous(flushed(spark, sf_dir).select("seg", "k"), "seg", "k")
+    return rows.select("seg", "k", F.coalesce(codec.shared_prefix(F.col("k"), F.col("prev")), F.lit(0)).cast("int").alias("shared"))
+
 
-    prev = F.lag("k").over(Window.partitionBy("seg").orderBy("k"))
-    return flushed(spark, sf_dir).select("seg", "k", prev.alias("prev")).select("seg", "k", F.coalesce(codec.shared_prefix(F.col("k"), F.col("prev")), F.lit(0)).cast("int").alias("shared"))
+@query(f"""WITH {LOG}, m AS (SELECT seq, op, v, (CASE WHEN op = 'DELETE' THEN 16 ELSE 32 END) + (CASE WHEN vtype = 'STRING' THEN 1 ELSE 0 END) AS meta FROM log), n AS (SELECT *, CASE WHEN meta = 32 THEN (seq % 5 - 2) * v::INT END AS number FROM m)
+SELECT seq, number, CASE WHEN number IS NULL THEN NULL WHEN number < 0 THEN 10 ELSE greatest(1, (length(ltrim(bin(number), '0')) + 6) // 7) END::INT AS encoded_bytes, CASE WHEN meta & 240 = 16 THEN 'DELETE' ELSE 'INSERT' END AS op, CASE WHEN meta & 15 = 1 THEN 'STRING' ELSE 'INT' END AS vtype FROM n""")
+def vint_codec(spark, sf_dir):
+    """Bytes of each integer as written, negative ones too, and what the meta byte decodes to."""
+    meta = log(spark, sf_dir).select("seq", "v", codec.meta_byte(F.col("op"), F.coalesce("vtype", F.lit(""))).alias("meta"))
+    number = F.when(F.col("meta") == 32, (F.col("seq") % 5 - 2) * F.when(F.col("meta") == 32, F.col("v")).cast("int"))
+    read = meta.select("seq", number.alias("number"), codec.meta_op(F.col("meta")).alias("op"), codec.meta_vtype(F.col("meta")).alias("vtype"))
+    return read.withColumn("encoded_bytes", F.when(F.col("number").isNotNull(), codec.encoded_vint_size(F.col("number"))))
 
 
 @query(f"""WITH {LOG} SELECT seq, CASE WHEN vtype = 'INT' THEN {_VINT} ELSE 1 END AS vint_bytes, {_SIZE.format(vint=_VINT)} AS record_bytes,
@@ -241,6 +304,20 @@ def varint_size(spark, sf_dir):
     return log(spark, sf_dir).select("seq", number.alias("vint_bytes"), codec.record_size(F.col("k"), F.col("vtype"), F.when(F.col("vtype").isNotNull(), F.col("v"))).cast("long").alias("record_bytes"), codec.meta_byte(F.col("op"), F.coalesce("vtype", F.lit(""))).alias("meta"))
 
 
+_HASHES = bloom.hashes_for(1000, bloom.bits_for(1000, 0.01))
+_BITS = "[" + ", ".join(f"(list_sum(list_transform(string_split(k, ''), lambda c: ({a} * ascii(c) + {b}) % {bloom.MODULUS})) % {bloom.bits_for(1000, 0.01)})::BIGINT" for a, b in bloom.coefficients(_HASHES)) + "]"
+
+
+@query(f"""WITH {LOG}, keys AS (SELECT DISTINCT seg, k, {_BITS} AS bits FROM flushed), held AS (SELECT DISTINCT unnest(bits) AS bit FROM keys WHERE seg = 0), probes AS (SELECT DISTINCT k, bits FROM keys), one AS (SELECT k, unnest(bits) AS bit FROM probes)
+SELECT k, bool_and(bit IN (FROM held)) AS may_contain FROM one GROUP BY k""")
+def bloom_restored(spark, sf_dir):
+    """A filter of segment 0 with as many hashes as its size asks for, written, read back and probed with all keys."""
+    m = bloom.bits_for(1000, 0.01)
+    rows, out = flushed(spark, sf_dir).select("seg", "k"), f"{work_dir(spark)}/filter"
+    bloom.build(rows.where("seg = 0"), "k", m, _HASHES).write.parquet(out)
+    return bloom.may_contain(rows.select("k").distinct(), "k", spark.read.parquet(out), m, _HASHES)
+
+
 _BIT = "(list_sum(list_transform(string_split(k, ''), lambda c: (48271 * ascii(c) + 16807) % 1635947)) % 4800)::BIGINT"
 
 
@@ -266,8 +343,7 @@ def bloom_probe(spark, sf_dir):
 @query(f"""WITH {LOG}, m AS (SELECT max(seg) AS newest FROM log) SELECT k, v, CASE WHEN seg = newest THEN 'memtable' WHEN seg = newest - 1 THEN 'immutable' ELSE 'segment' END AS tier FROM latest, m WHERE op = 'INSERT'""")
 def answering_tier(spark, sf_dir):
     """Where a read of each live key finds its answer."""
-    newest = events(spark, sf_dir).agg(F.max("event_id")).first()[0]
-    return state.answering_tier(log(spark, sf_dir), (newest or 0) // 1000)
+    return state.answering_tier(log(spark, sf_dir))
 
 
 @query(f"WITH {LOG} SELECT k, vtype, v, seq FROM latest WHERE op = 'INSERT'")
@@ -276,6 +352,28 @@ def stream_live_state(spark, sf_dir):
     return engine.stream_live_state(spark, sf_dir, "events.parquet", work_dir(spark))
 
 
+_WRITES = "writes AS (SELECT *, CASE WHEN op = 'INSERT' THEN CASE WHEN regexp_matches(raw, '^[+-]?[0-9]+$') AND TRY_CAST(raw AS INT) IS NOT NULL THEN 'INT' ELSE 'STRING' END END AS vtype, row_number() OVER (PARTITION BY k ORDER BY id DESC) AS r FROM cmds WHERE op IN ('INSERT', 'DELETE'))"
+
+
+@query(f"WITH {_LINES}, {_WRITES} SELECT k, vtype, v, id AS seq FROM writes WHERE r = 1 AND op = 'INSERT'")
+def stream_commands(spark, sf_dir):
+    """Command files as a stream, a file a batch; stopped, given more files, and started again from its checkpoint."""
+    work = work_dir(spark)
+    lines = command_lines(spark, sf_dir).select(F.concat_ws("\t", "id", "line").alias("value"), (F.col("id") % 2).alias("half"))
+    for half in (1, 0):
+        lines.where(F.col("half") == half).select("value").repartition(3).write.text(f"{work}/commands/{half}")
+        engine.stream_commands(spark, f"{work}/commands/*", f"{work}/segments", f"{work}/state").awaitTermination()
+    return state.live(engine.read_flushed(spark, f"{work}/segments"))
+
+
+@query(f"WITH {_LINES} SELECT concat('c', (event_id % 4)::VARCHAR) AS client, count(*) AS commands, count(op) AS understood, count(CASE WHEN op IN ('INSERT', 'DELETE') THEN 1 END) AS writes FROM cmds JOIN events ON event_id = id GROUP BY 1")
+def client_activity(spark, sf_dir):
+    """The client of each command kept through parsing, with what it sent."""
+    lines = command_lines(spark, sf_dir).withColumn("client", F.concat(F.lit("c"), (F.col("id") % 4).cast("string")))
+    wrote = F.when(F.col("op").isin("INSERT", "DELETE"), 1)
+    return changelog.parse(lines).groupBy("client").agg(F.count("*").alias("commands"), F.count("op").alias("understood"), F.count(wrote).alias("writes"))
+
+
 @query(f"WITH {LOG} SELECT k, op, vtype, v, seq FROM latest WHERE k IN ('u1_1', 'u2_2', 'u3_3', 'u7_42', 'u50_7', 'none')")
 def point_lookup(spark, sf_dir):
     """A few literal keys against written segments, found by file ranges and Bloom filters."""

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.values import canonical, vtype
 
-SCHEMA = "seq long, shard long, k string, op string, vtype string, v string, seg long"
-
 
 def from_events(events: DataFrame) -> DataFrame:
     """One operation for each event: errors delete the user's key, clicks store an integer, others a string."""
@@ -30,7 +28,7 @@ def tokens(line: Column) -> Column:
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """Command lines (id, line) with their verb, key, typed value, operation and the reply known from the text alone.
+    """Command lines (id, line, and client if it is known) with their key, typed value, operation and the reply known from the text alone.
 
     ``reply`` is null for a well-formed get, whose answer depends on the state.
     """
@@ -39,8 +37,7 @@ def parse(lines: DataFrame) -> DataFrame:
     raw = F.get(F.split(F.trim("line"), " ", 3), F.lit(2))
     is_set, is_get, is_del = (verb == "set") & (n > 2), (verb == "get") & (n == 2), (verb == "del") & (n == 2)
     return lines.select(
-        "id",
-        "line",
+        *[c for c in ("id", "client", "line") if c in lines.columns],
         F.when(is_set | is_get | is_del, F.get(t, F.lit(1))).alias("k"),
         F.when(is_set, "INSERT").when(is_del, "DELETE").when(is_get, "GET").alias("op"),
         F.when(is_set, vtype(raw)).alias("vtype"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import position
 from tidemark.operators.state import latest
 
 ROWS_A_BLOCK = 16
@@ -22,22 +23,38 @@ def manifest(rows: DataFrame, level: int = 0) -> DataFrame:
 
 def ordered(rows: DataFrame) -> DataFrame:
     """Rows with their position in key order in their segment, from 0."""
-    return rows.withColumn("pos", (F.row_number().over(Window.partitionBy("seg").orderBy("k")) - 1).cast("long"))
+    return position(rows, "seg", "k")
 
 
 def block_index(rows: DataFrame, rows_a_block: int = ROWS_A_BLOCK) -> DataFrame:
     """The sparse index: the first key of each block of a segment."""
-    blk = F.floor(F.col("pos") / rows_a_block).cast("long")
-    return ordered(rows).withColumn("blk", blk).groupBy("seg", "blk").agg(F.min("k").alias("first_key"))
+    return index_of(blocks(rows, rows_a_block))
 
 
-def write(rows: DataFrame, path: str, keys: int = 1_000_000, fpp: float = 0.1, files: int = 1) -> None:
-    """Write rows in key order. ``files`` over 1 makes range-partitioned, disjoint files."""
-    laid = rows.repartitionByRange(files, "k") if files > 1 else rows.coalesce(1)
-    options = {"parquet.bloom.filter.enabled#k": "true", "parquet.bloom.filter.expected.ndv#k": str(keys), "parquet.bloom.filter.fpp#k": str(fpp), "parquet.writer.version": "v2"}
+def blocks(rows: DataFrame, rows_a_block: int = ROWS_A_BLOCK) -> DataFrame:
+    """Rows with the number of their block in their segment."""
+    return ordered(rows).withColumn("blk", F.floor(F.col("pos") / rows_a_block).cast("long")).drop("pos")
+
+
+def index_of(blocked: DataFrame) -> DataFrame:
+    return blocked.groupBy("seg", "blk").agg(F.min("k").alias("first_key"))
+
+
+def write(rows: DataFrame, path: str, fpp: float = 0.1, files: int | None = None, block: int = 16 << 20, page: int = 64 << 10) -> None:
+    """Write rows in key order, in files of disjoint ranges; without ``files`` as many as adaptive execution makes of their size.
+
+    ``block`` and ``page`` are bytes of a row group and of a page; Bloom filters take the size that the keys of a file need.
+    """
+    laid = rows.repartitionByRange(files, "k") if files else rows.repartitionByRange("k")
+    options = {"parquet.bloom.filter.enabled#k": "true", "parquet.bloom.filter.adaptive.enabled#k": "true", "parquet.bloom.filter.fpp#k": str(fpp), "parquet.writer.version": "v2", "parquet.block.size": str(block), "parquet.page.size": str(page)}
     laid.sortWithinPartitions("k").write.mode("overwrite").options(**options).parquet(path)
 
 
+def newest_first(manifest: DataFrame) -> DataFrame:
+    """The catalog with the place of each segment in a search, newest first; only for catalogs."""
+    return manifest.withColumn("place", (F.row_number().over(Window.orderBy(F.desc("max_seq"), F.desc("seg"))) - 1).cast("long"))
+
+
 def read(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths)
 

@@ -11,11 +11,12 @@ store; readers take a version once and are not disturbed.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import values
 from tidemark.operators import compaction, state
 from tidemark.sources import changelog, files, segments
 
@@ -94,8 +95,9 @@ class Store:
         return out
 
     def insert(self, key: str, value: int | str) -> None:
-        kind = "INT" if isinstance(value, int) else "STRING"
-        self.append(self.spark.createDataFrame([(0, key, "INSERT", kind, str(value))], "id long, k string, op string, vtype string, v string"))
+        """Typed as the command would be: a number of 32 bits is an integer, all else its text."""
+        row = self.spark.createDataFrame([(0, key, str(value))], "id long, k string, raw string")
+        self.append(row.select("id", "k", F.lit("INSERT").alias("op"), values.vtype(F.col("raw")).alias("vtype"), values.canonical(F.col("raw")).alias("v")))
 
     def delete(self, key: str) -> None:
         self.append(self.spark.createDataFrame([(0, key, "DELETE", None, None)], "id long, k string, op string, vtype string, v string"))
@@ -107,8 +109,8 @@ class Store:
     def multi_get(self, keys: DataFrame) -> DataFrame:
         return state.multi_get(keys, self.log())
 
-    def flush(self) -> None:
-        """Write the log as a level-0 segment, publish it, then drop the log."""
+    def flush(self, compact: bool = True) -> None:
+        """Write the log as a level-0 segment, publish it, drop the log; then merge until nothing overlaps, if ``compact``."""
         wal = self._wal()
         top = wal.agg(F.max("seq")).first()[0]
         if top is None:
@@ -118,8 +120,10 @@ class Store:
         segments.write(state.latest(wal).select("seq", "k", "op", "vtype", "v"), self._segment(seg))
         self._publish(old.where("seg IS NOT NULL").withColumn("flushed", F.lit(top).cast("long")).unionByName(self._entry(seg, 0, top)))
         for n in files.names(self.spark, f"{self.root}/wal"):
-            if int(n[1:]) <= top:
+            if n[0] == "b" and n[1:].isdigit() and int(n[1:]) <= top:
                 files.delete(self.spark, f"{self.root}/wal/{n}")
+        if compact:
+            self.compact_all()
 
     def _entry(self, seg: int, level: int, flushed: int) -> DataFrame:
         rows = self.spark.read.schema(LOG).parquet(self._segment(seg)).withColumn("seg", F.lit(seg).cast("long"))
@@ -135,9 +139,10 @@ class Store:
             ids = [r["seg"] for r in catalog.select("seg").collect()]
             level = (catalog.agg(F.max("level")).first()[0] or 0) + 1
         else:
-            pairs = compaction.overlap_pairs(catalog).collect()
-            lowest = min((p["level"] for p in pairs), default=None)
-            ids = sorted({s for p in pairs if p["level"] == lowest for s in (p["seg_a"], p["seg_b"])})
+            groups: dict[tuple, list[int]] = defaultdict(list)
+            for r in compaction.overlap_groups(catalog).collect():  # a row for each segment in force
+                groups[r["level"], r["grp"]].append(r["seg"])
+            lowest, ids = min(((key[0], sorted(own)) for key, own in groups.items() if len(own) > 1), default=(None, []))
             level = None if lowest is None else lowest + 1
         if len(ids) < (1 if full else 2):
             return False
@@ -157,5 +162,13 @@ class Store:
         while self.compact():
             pass
 
+    def segments(self) -> DataFrame:
+        """Segments in force, newest first (column ``place``)."""
+        return segments.newest_first(self.catalog().where("seg IS NOT NULL"))
+
+    def cached(self) -> DataFrame:
+        """The live view kept in executors for repeated reads; ``unpersist`` frees it. Not seen: later writes."""
+        return self.live().persist()
+
     def close(self) -> None:
         self.flush()

@@ -38,7 +38,7 @@ def stream_live_state(spark: SparkSession, folder: str, name: str, work: str) ->
 
 def stream_commands(spark: SparkSession, folder: str, out: str, checkpoint: str):
     """Command files (text, one line each: ``id<TAB>command``) into changelog segments."""
-    lines = spark.readStream.text(folder)
+    lines = spark.readStream.option("maxFilesPerTrigger", 1).text(folder)
     parts = F.split("value", "\t", 2)
     parsed = changelog.parse(lines.select(parts[0].cast("long").alias("id"), parts[1].alias("line")))
     return flush_stream(parsed.where("op IN ('INSERT', 'DELETE')").withColumn("seq", F.col("id")), out, checkpoint)
