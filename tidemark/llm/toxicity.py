@@ -30,20 +30,54 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\w+")
 #: The sample for training: at most so many rows, of so many bytes of text in all, and a row of so many.
 SAMPLE_ROWS, SAMPLE_BYTES, ROW_BYTES = 3000, 10_000_000, 200_000
-#: N-grams of a word that are hashed at once.
-BLOCK = 1 << 14
+#: Characters whose n-grams are hashed at once, and characters of texts that are scored together.
+BLOCK, GROUP = 1 << 16, 1 << 20
 #: Usual share of a telling n-gram in a document.
 SCALE = 0.003
 
 
+def _ngrams(pieces: list[tuple[int, str]], buckets: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket) of the n-grams that start in the first ``BLOCK`` characters of each piece, by a polynomial in the code points."""
+    code = np.frombuffer("".join(p for _, p in pieces).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    length = np.array([len(p) for _, p in pieces])
+    end = np.cumsum(length)
+    place = np.arange(len(code))
+    left = np.repeat(end, length) - place
+    own = place - np.repeat(end - length, length) < BLOCK
+    word = np.repeat(np.array([i for i, _ in pieces]), length)
+    h, rows, out = np.zeros(len(code), np.uint64), [], []
+    for n in range(1, high + 1):
+        starts = max(0, len(code) - n + 1)
+        h[:starts] = h[:starts] * np.uint64(0x9E3779B97F4A7C15) + code[n - 1 :]
+        if n >= low:
+            at = np.flatnonzero((left >= n) & own)
+            x = h[at] + np.uint64(n)
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            rows.append(word[at])
+            out.append(((x >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64))
+    return np.concatenate(rows), np.concatenate(out)
+
+
+def bags(words: list[str], buckets: int, low: int = 3, high: int = 6) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place of the word, bucket) of each word itself and of the n-grams of whole words, in blocks, so memory doesn't grow with a word."""
+    marked = [f"<{w}>" for w in words]
+    yield np.arange(len(words)), np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets for w in marked], np.int64)
+    held, size = [], 0
+    for i, w in enumerate(marked):
+        for at in range(0, len(w), BLOCK):
+            piece = w[at : at + BLOCK + high - 1]
+            if held and size + len(piece) > BLOCK + high:
+                yield _ngrams(held, buckets, low, high)
+                held, size = [], 0
+            held.append((i, piece))
+            size += len(piece)
+    if held:
+        yield _ngrams(held, buckets, low, high)
+
+
 def grams(word: str, buckets: int, low: int = 3, high: int = 6) -> Iterator[np.ndarray]:
-    """Buckets of the n-grams of a whole word and of the word itself, in blocks, so memory doesn't grow with the word."""
-    w = f"<{word}>"
-    yield np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets])
-    for n in range(low, high + 1):
-        for at in range(0, len(w) - n + 1, BLOCK):
-            starts = range(at, min(at + BLOCK, len(w) - n + 1))
-            yield np.array([zlib.crc32(w[i : i + n].encode("utf-8", "surrogatepass")) % buckets for i in starts])
+    """Buckets of the n-grams of a whole word and of the word itself, in blocks."""
+    return (g for _, g in bags([word], buckets, low, high))
 
 
 @dataclass
@@ -59,27 +93,51 @@ class Model:
 
 
 class Scorer(dict):
+    """Weights of words, kept for words that come again."""
+
     MOST = 400_000
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
 
+    def weigh(self, words: list[str]) -> list[float]:
+        total, n = np.zeros(len(words)), np.zeros(len(words))
+        for i, g in bags(words, self.model.buckets):
+            if len(i):
+                low, high = i.min(), i.max() + 1
+                total[low:high] += np.bincount(i - low, self.model.weight[g], high - low)
+                n[low:high] += np.bincount(i - low, minlength=high - low)
+        return (total / np.maximum(n, 1)).tolist()
+
     def __missing__(self, word: str) -> float:
-        total, n = 0.0, 0
-        for g in grams(word, self.model.buckets):
-            total, n = total + self.model.weight[g].sum(), n + len(g)
-        x = float(total / n)
-        if len(self) >= self.MOST:
+        return self.weigh([word])[0]
+
+    def _scores(self, texts: list[str | None]) -> list[float]:
+        found = [WORD.findall((t or "").lower()) for t in texts]
+        if len(self) > self.MOST:
             self.clear()
-        if len(word) < 64:
-            self[word] = x
-        return x
+        new = list({w for words in found for w in words if w not in self})
+        self.update(zip(new, self.weigh(new)))
+        z = np.array([self.model.bias + (sum(map(self.__getitem__, words)) / len(words) if words else 0.0) for words in found])
+        for w in new:
+            if len(w) >= 64:
+                del self[w]
+        return (1 / (1 + np.exp(-np.clip(z, -500, 500)))).tolist()
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        """Scores of whole texts; the words of about ``GROUP`` characters of text are weighed together."""
+        out, held, size = [], [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t or "")
+            if size >= GROUP:
+                out += self._scores(held)
+                held, size = [], 0
+        return out + self._scores(held) if held else out
 
     def score(self, text: str | None) -> float:
-        words = WORD.findall((text or "").lower())
-        z = self.model.bias + (sum(map(self.__getitem__, words)) / len(words) if words else 0.0)
-        return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+        return self.scores([text])[0]
 
 
 def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 18, dim: int = 4, epochs: int = 100, rate: float = 0.05, decay: float = 1e-4, least: int = 20, seed: int = 7) -> Model:
@@ -90,21 +148,15 @@ def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 18, di
     if len(set(labels)) < 2:
         ones = sum(labels)
         return Model(np.zeros(buckets), math.log((ones + 1) / (len(labels) - ones + 1)), buckets)
-    bags: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     cols, vals, ends = [], [], []
     for t in texts:
         words = Counter(WORD.findall((t or "").lower()))
-        total = max(1, sum(words.values()))
-        c, v = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for w, n in words.items():
-            if w not in bags:
-                g = np.concatenate(list(grams(w, buckets)))  # a sampled text has ``ROW_BYTES`` at most
-                bags[w] = g, np.full(len(g), 1 / len(g))
-            c.append(bags[w][0])
-            v.append(bags[w][1] * (n / total))
-        c, inverse = np.unique(np.concatenate(c), return_inverse=True)
+        parts = list(bags(list(words), buckets))  # a sampled text has ``ROW_BYTES`` at most
+        i, g = (np.concatenate(x) for x in zip(*parts))
+        share = np.array(list(words.values()), float) / max(1, sum(words.values())) / np.bincount(i, minlength=len(words))
+        c, inverse = np.unique(g, return_inverse=True)
         cols.append(c.astype(np.int32))
-        vals.append((np.bincount(inverse, np.concatenate(v), len(c)) / SCALE).astype(np.float32))
+        vals.append((np.bincount(inverse, share[i], len(c)) / SCALE).astype(np.float32))
         ends.append(len(c))
     row = np.repeat(np.arange(len(texts), dtype=np.int32), ends)
     col, val = np.concatenate(cols), np.concatenate(vals)
@@ -118,9 +170,10 @@ def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 18, di
     if not len(used):
         return Model(np.zeros(buckets), float(np.log(np.mean(labels) / (1 - np.mean(labels)))), buckets)
     by_col = np.argsort(col, kind="stable").astype(np.int32)
-    t_row, t_col, t_val = row[by_col], col[by_col], val[by_col]
+    t_row, t_val = row[by_col], val[by_col]
     rows, row_at = np.unique(row, return_index=True)
-    _, col_at = np.unique(t_col, return_index=True)
+    _, col_at = np.unique(col[by_col], return_index=True)
+    del by_col, keep
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.01, (len(used), dim)).astype(np.float32)
     layer = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
@@ -170,7 +223,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = shipped.value.scorer()
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": np.array([scorer.score(t) for t in b["text"]], dtype=float)})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": np.array(scorer.scores(b["text"].tolist()), dtype=float)})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, score double")
 
